@@ -4,18 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kedrion.llm import leak_scan
+from kedrion.llm import leak_scan, reading_level
 from kedrion.session import load_table
 
 
+def spelled(column: str) -> Column:
+    """One spelling of a label: small letters, no outer white space, ``_`` for blanks and hyphens."""
+    return F.regexp_replace(F.lower(F.trim(F.col(column))), r"[\s-]+", "_")
+
+
+def language(column: str) -> Column:
+    name = spelled(column)
+    return F.when(name.startswith("ru"), "ru").when(name.startswith("en"), "en").otherwise(name)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_scan.leaked_items(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "eval_items"))
 
 
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items that leaked, with the number of documents that hold them."""
+    return p6_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+
+
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents")
+    return reading_level.reading_levels(docs, load_table(spark, sf_dir, "reading_labels"), carry=["source", "lang"])
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents")
+    levels = reading_level.reading_levels(docs, load_table(spark, sf_dir, "reading_labels"))
+    return levels.filter("grade >= 4").select("doc_id")
+
+
+def p8_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades and their spread by source and language."""
+    return reading_level.spread(p8_levels(spark, sf_dir), spelled("source").alias("source"), language("lang").alias("lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_found": p6_found}
+    return {f.__name__: f for f in (p6_found, p6_items, p8_found, p8_levels, p8_spread)}
 
 
 def oracle_sql() -> dict[str, str]:
