@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kedrion.llm import leak_scan, reading_level
+from kedrion.llm import leak_scan, reading_level, source_mix
 from kedrion.session import load_table
 
 
@@ -30,6 +30,24 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_docs"))
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    targets = load_table(spark, sf_dir, "mix_targets").withColumn("source", spelled("source"))
+    return source_mix.mix(source_mix.sized(load_table(spark, sf_dir, "documents"), spelled("source")), targets)
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1].filter("short").select("source")
+
+
 def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load_table(spark, sf_dir, "documents")
     return reading_level.reading_levels(docs, load_table(spark, sf_dir, "reading_labels"), carry=["source", "lang"])
@@ -47,7 +65,7 @@ def p8_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p6_items, p8_found, p8_levels, p8_spread)}
+    return {f.__name__: f for f in (p6_found, p6_items, p7_found, p7_mix, p7_shares, p8_found, p8_levels, p8_spread)}
 
 
 def oracle_sql() -> dict[str, str]:
