@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kedrion.llm import leak_scan, reading_level, source_mix
+from kedrion.llm import leak_scan, reading_level, source_mix, split_text
+from kedrion.llm.common import first_rows
 from kedrion.session import load_table
 
 
@@ -21,6 +22,25 @@ def language(column: str) -> Column:
     return F.when(name.startswith("ru"), "ru").when(name.startswith("en"), "en").otherwise(name)
 
 
+def _split(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    parts = []
+    for table, field in (("sections", "local_text"), ("sections", "subtree_text"), ("text_nodes", "text")):
+        rows = first_rows(load_table(spark, sf_dir, table)).select(
+            F.lit(table).alias("item_table"), F.lit(field).alias("item_field"), "id", F.col(field).alias("__item")
+        )
+        parts.append(split_text.split(rows, "__item", ["item_table", "item_field", "id"], with_text=with_text))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split(spark, sf_dir, with_text=True)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts over the limit, from their first pieces."""
+    return _split(spark, sf_dir, with_text=False).filter("piece = 0").select("item_table", "item_field", "id", "boundary")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_scan.leaked_items(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "eval_items"))
 
@@ -65,8 +85,21 @@ def p8_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p6_items, p7_found, p7_mix, p7_shares, p8_found, p8_levels, p8_spread)}
+    return {f.__name__: f for f in (p4_found, p4_pieces, p6_found, p6_items, p7_found, p7_mix, p7_shares, p8_found, p8_levels, p8_spread)}
+
+
+_P4 = """
+with items as (
+  select 'sections' item_table, 'local_text' item_field, id, arg_min(local_text, seq) t from sections group by id
+  union all select 'sections', 'subtree_text', id, arg_min(subtree_text, seq) from sections group by id
+  union all select 'text_nodes', 'text', id, arg_min(text, seq) from text_nodes group by id)
+select item_table, item_field, id,
+  case when list_max(list_transform(string_split(t, chr(10)), lambda x: length(x))) <= 2000 then 'line'
+       when list_max(list_transform(regexp_split_to_array(t, '[\\s\\x0B\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: length(x))) <= 2000 then 'word'
+       else 'none' end boundary
+from items where id is not null and length(t) > 2000
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": _P4}
