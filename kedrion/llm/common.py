@@ -27,3 +27,28 @@ def first_rows(df: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
     if repeated.count() <= FEW_REPEATED:
         repeated = F.broadcast(repeated)
     return df.join(repeated, (F.col(key) == F.col("__key")) & (F.col(order) > F.col("__first")), "left_anti")
+
+
+def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """``node``, ``root``: the smallest node of the connected component of every node of ``edges``.
+
+    Alternating large-star and small-star rounds (logarithmic in the size of a component); every round
+    is an aggregate with map-side combining and a join on the node, and is written to the shared folder.
+    """
+    now = staged(edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).filter("lo <> hi").distinct(), "cc")
+    while True:
+        ways = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(now.select("hi", "lo"))
+        least = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = ways.join(least, "u").filter("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).filter("lo <> hi").distinct()
+        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(down, "hi").select("m", "hi", "lo")
+        step = small.select(F.col("m").alias("lo"), "hi").union(small.filter("m <> lo").select("m", F.col("lo").alias("hi"))).distinct()
+        step = staged(step, "cc")
+        if _digest(step) == _digest(now):
+            return step.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(step.select("lo", "lo").distinct())
+        now = step
+
+
+def _digest(edges: DataFrame) -> tuple:
+    row = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("lo", "hi"), F.lit(1 << 40)))).first()
+    return tuple(row)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kedrion.llm import leak_scan, reading_level, source_mix, split_text
+from kedrion.llm import leak_scan, near_dup, reading_level, source_mix, split_text
 from kedrion.llm.common import first_rows
 from kedrion.session import load_table
 
@@ -22,6 +22,15 @@ def language(column: str) -> Column:
     return F.when(name.startswith("ru"), "ru").when(name.startswith("en"), "en").otherwise(name)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.similar_pairs(load_table(spark, sf_dir, "text_nodes"))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group, the class of exact copies and the number of links of every passage with a similar one."""
+    return near_dup.groups(load_table(spark, sf_dir, "text_nodes"))
+
+
 def _split(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
     parts = []
     for table, field in (("sections", "local_text"), ("sections", "subtree_text"), ("text_nodes", "text")):
@@ -85,7 +94,7 @@ def p8_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_pieces, p6_found, p6_items, p7_found, p7_mix, p7_shares, p8_found, p8_levels, p8_spread)}
+    return {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_pieces, p6_found, p6_items, p7_found, p7_mix, p7_shares, p8_found, p8_levels, p8_spread)}
 
 
 _P4 = """
