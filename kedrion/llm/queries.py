@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kedrion.llm import leak_scan, near_dup, reading_level, source_mix, split_text
+from kedrion.llm import knn_forest, leak_scan, near_dup, reading_level, source_mix, split_text
 from kedrion.llm.common import first_rows
 from kedrion.session import load_table
 
@@ -50,6 +50,26 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split(spark, sf_dir, with_text=False).filter("piece = 0").select("item_table", "item_field", "id", "boundary")
 
 
+_VECTORS = (("embedding", "text_nodes"), ("e_local", "sections"), ("e_subtree", "sections"))
+
+
+def p5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar vectors of every vector of each column."""
+    parts = [
+        knn_forest.neighbours(load_table(spark, sf_dir, table), field, **knn_forest.THOROUGH).withColumn("vec_field", F.lit(field))
+        for field, table in _VECTORS
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = []
+    for field, table in _VECTORS:
+        near = knn_forest.neighbours(load_table(spark, sf_dir, table), field, least=0.9)
+        parts.append(near.select(F.lit(field).alias("vec_field"), F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_scan.leaked_items(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "eval_items"))
 
@@ -94,7 +114,7 @@ def p8_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_pieces, p6_found, p6_items, p7_found, p7_mix, p7_shares, p8_found, p8_levels, p8_spread)}
+    return {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_knn, p6_found, p6_items, p7_found, p7_mix, p7_shares, p8_found, p8_levels, p8_spread)}
 
 
 _P4 = """
