@@ -6,14 +6,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kedrion.operators import orphan_refs
+from kedrion.session import load_table
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     raise NotImplementedError
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reference of edges and text nodes without a live record behind it."""
+    edges, nodes = load_table(spark, sf_dir, "edges"), load_table(spark, sf_dir, "text_nodes")
+    refs = [
+        orphan_refs.Reference("edges", "from_id", edges, "raw_nodes"),
+        orphan_refs.Reference("edges", "to_id", edges, "raw_nodes"),
+        orphan_refs.Reference("text_nodes", "section_id", nodes, "sections"),
+    ]
+    parents = {t: load_table(spark, sf_dir, t) for t in ("raw_nodes", "sections")}
+    return orphan_refs.orphans(refs, parents)
+
+
+def p1_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failing references per table, field, period and reason."""
+    return orphan_refs.summary(p1_found(spark, sf_dir))
+
+
+_P1 = """
+with parent as (
+  select 'raw_nodes' p, id, min(case when removed_at is null then loaded_at end) since from raw_nodes group by id
+  union all select 'sections', id, min(case when removed_at is null then loaded_at end) from sections group by id),
+refs as (
+  select 'edges' ref_table, 'from_id' ref_field, seq, from_id k, loaded_at, 'raw_nodes' p from edges
+  union all select 'edges', 'to_id', seq, to_id, loaded_at, 'raw_nodes' from edges
+  union all select 'text_nodes', 'section_id', seq, section_id, loaded_at, 'sections' from text_nodes)
+select ref_table, ref_field, seq, strftime(loaded_at, '%Y-%m') period,
+  case when id is null then 'missing' when since is null then 'removed' else 'late' end reason
+from refs r left join parent on parent.p = r.p and parent.id = r.k
+where k is not null and (id is null or since is null or since > loaded_at)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in (p1_found, p1_summary)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": _P1,
+        "p1_summary": f"select ref_table, ref_field, period, reason, count(*) n_refs from ({_P1}) group by all",
+    }
