@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kedrion.operators import orphan_refs
+from kedrion.operators import orphan_refs, tree_paths
 from kedrion.session import load_table
 
 
@@ -31,6 +32,59 @@ def p1_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_refs.summary(p1_found(spark, sf_dir))
 
 
+def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return tree_paths.section_links(load_table(spark, sf_dir, "sections"), load_table(spark, sf_dir, "edges"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections on a cycle, without a root, or of a wrong level."""
+    return tree_paths.faults(*_links(spark, sf_dir))
+
+
+def p2_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path, depth, root and descendants (an interval of the tree's numbers) of every section."""
+    return tree_paths.paths(tree_paths.forest(*_links(spark, sf_dir)))
+
+
+def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_hierarchy(spark, sf_dir).select("id", "rooted", "root", "depth", "path", "n_descendants")
+
+
+def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every section with each of its descendants, from the paths."""
+    found = p2_hierarchy(spark, sf_dir)
+    return found.select(F.explode("path").alias("id"), F.col("id").alias("descendant")).filter("id <> descendant")
+
+
+_S = "with recursive s as (select id, arg_min(struct_pack(p := parent_id, l := level, c := children_ids), seq) r from sections where id is not null group by id)"
+#: the way up by parent_id until a root, a missing parent or a repeated section
+_UP = f"""{_S}, up as (
+  select id, id at_, [id] path, false loop from s
+  union all
+  select up.id, s.r.p, [s.r.p] || path, list_contains(path, s.r.p)
+  from up join s on s.id = up.at_ join s q on q.id = s.r.p where not loop),
+tip as (select id, arg_max(struct_pack(a := at_, path := path, loop := loop), len(path)) t from up group by id)"""
+_P2 = f"""{_UP}, link as (
+  select distinct u, v from (
+    select r.p u, id v from s union all select id, unnest(r.c) from s
+    union all select from_id, to_id from edges where relation_type = 'HAS_SUBSECTION')
+  where u in (select id from s) and v in (select id from s)),
+reach as (select u, v from link union select reach.u, link.v from reach join link on reach.v = link.u)
+select s.id, case when s.id in (select u from reach where u = v) then 'cycle'
+  when t.loop or (select r.p from s x where x.id = t.a) is not null then 'rootless' else 'level' end kind
+from s join tip using (id)
+where s.id in (select u from reach where u = v) or t.loop
+  or (select r.p from s x where x.id = t.a) is not null or s.r.l is distinct from len(t.path)
+"""
+#: the path in the forest: a cycle is cut above its least section
+_FOREST = f"""{_UP}, least as (
+  select id, t.path path, case when t.loop then list_min(t.path[1:list_position(t.path[2:], t.path[1])]) end m,
+    not t.loop and (select r.p from s x where x.id = t.a) is null rooted from tip),
+tree as (select id, rooted, case when m is null then path else path[len(path) - list_position(list_reverse(path), m) + 1:] end path from least)"""
+_P2P = f"""{_FOREST} select id, rooted, path[1] root, len(path) depth, path,
+  (select count(*) - 1 from tree d where list_contains(d.path, tree.id)) n_descendants from tree"""
+_P2D = f"{_FOREST} select path[i] id, id descendant from tree, range(1, 1000) g(i) where i < len(path)"
+
 _P1 = """
 with parent as (
   select 'raw_nodes' p, id, min(case when removed_at is null then loaded_at end) since from raw_nodes group by id
@@ -47,11 +101,14 @@ where k is not null and (id is null or since is null or since > loaded_at)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_summary)}
+    return {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_hierarchy, p2_paths, p2_descendants)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
+        "p2_found": _P2,
+        "p2_paths": _P2P,
+        "p2_descendants": _P2D,
         "p1_summary": f"select ref_table, ref_field, period, reason, count(*) n_refs from ({_P1}) group by all",
     }
