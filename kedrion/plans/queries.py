@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kedrion.operators import orphan_refs, tree_paths
+from kedrion.plans import reference_queries
 from kedrion.session import load_table
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All queries answered over the index: seeds, expansion, ranking and assembled sections."""
+    return reference_queries.full_pipeline(spark, sf_dir)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,11 +103,13 @@ where k is not null and (id is null or since is null or since > loaded_at)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_hierarchy, p2_paths, p2_descendants)}
+    own = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_hierarchy, p2_paths, p2_descendants)}
+    return {**own, **reference_queries.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        **reference_queries.oracle_sql(),
         "p1_found": _P1,
         "p2_found": _P2,
         "p2_paths": _P2P,
