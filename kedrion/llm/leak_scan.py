@@ -40,9 +40,9 @@ BLOCK = 3
 PASS_CHARS = 64_000_000
 
 _WORD = re.compile(r"[^\W_]+")
-_ODD = re.compile("[̀-ͯª²³¹º¼-¾À-ɏḀ-ỿ⁰-₟℀-⅏①-⓿ﬀ-ﬆ＀-￯]")
-_MARKS = re.compile("[̀-̅̇̉-ͯ]")  # not the breve of й and the dots of ё
-_HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿￾]")
+_ODD = re.compile("[\u0300-\u036f\xaa\xb2\xb3\xb9\xba\xbc-\xbe\xc0-\u024f\u1e00-\u1eff\u2070-\u209f\u2100-\u214f\u2460-\u24ff\ufb00-\ufb06\uff00-\uffef]")
+_MARKS = re.compile("[\u0300-\u0305\u0307\u0309-\u036f]")  # not the breve of й and the dots of ё
+_HIDDEN = re.compile("[\xad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\ufffe]")
 _TAG = re.compile(r"</?(?:[a-zA-Z][^<>]*|!--[^<>]*--)/?>")
 _INLINE_TAG = re.compile(r"</?(?:b|i|u|em|strong|span|font|a|sup|sub|mark|code|wbr|small|big)(?:\s[^<>]*)?/?>", re.I)
 _BROKEN = re.compile(r"([^\W\d_])[-‐‑¬][ \t]*\r?\n[ \t>|*]*(?=[^\W\d_])")

@@ -48,7 +48,7 @@ _ABBREVIATIONS = frozenset(
     "e.g i.e e i g approx cf sec ver fig vs etc no nos mr mrs ms dr st vol ch pp p ed al".split()
 )
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
-_HIDDEN = re.compile("[­​-‏⁠﻿̀-̅̇̉-ͯ]")
+_HIDDEN = re.compile("[\xad\u200b-\u200f\u2060\ufeff\u0300-\u0305\u0307\u0309-\u036f]")
 _BROKEN = re.compile(r"([^\W\d_])[-‐‑]\n[> \t]*(?=[^\W\d_])")
 _QUOTE = re.compile(r"(?m)^[ \t]*(?:>[ \t]?)+")
 _ASIDE = re.compile(r"(?m)^(?:[ \t]*(?:#+ |={2,}|[-*•+] |\d+[.)] |\||```|~~~|\{|\})|    ).{0,120}$")
