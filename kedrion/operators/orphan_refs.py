@@ -1,8 +1,8 @@
 """References to records that do not exist, by compressed bitmaps of dictionary-coded keys.
 
 1. **Dictionary** - the keys of all referring fields and parent tables get integer codes: keys are
-   hashed to ``BUCKETS`` buckets and numbered within their bucket in order, so codes are dense in ranges
-   of ``RANGE`` keys and need no global order;
+   hashed to buckets of about one bitmap's keys and numbered within their bucket in order, so codes are
+   dense in their ranges and need no global order;
 2. **Bitmaps** - for each key range: one bitmap a referring field and period of the keys referred to, one
    a parent table of the keys that have any row, and one a period of the keys whose first live row falls
    in it.  Bits are set by a map-side aggregate, so a key that a third of all rows refer to costs one
@@ -22,6 +22,7 @@ empty tables give an empty result; extra columns, also of the names used here, a
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,10 +32,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kedrion.session import staged
+from kedrion.session import staged, staged_with
 
 RANGE_BITS = 15  # keys of one bitmap: 2**15, the size of the built-in bitmap aggregate
-BUCKETS = 256
+FILL = 24_000  # rows (keys by field, period or table) for which a bucket is made
 _FEW = 2048  # positions up to which a bitmap is kept as an array
 
 
@@ -61,19 +62,23 @@ def pack(bits: bytes) -> bytes:
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    """Packed bitmap -> array of 2**RANGE_BITS booleans."""
+    """Packed bitmap -> its 2**RANGE_BITS bits, eight a byte."""
     if packed[:1] == b"z":
-        return np.unpackbits(np.frombuffer(zlib.decompress(packed[1:]), np.uint8), bitorder="little").astype(bool)
+        return np.frombuffer(zlib.decompress(packed[1:]), np.uint8)
     out = np.zeros(1 << RANGE_BITS, bool)
     out[np.frombuffer(packed[1:], np.uint16)] = True
-    return out
+    return np.packbits(out, bitorder="little")
+
+
+def positions(bits: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(bits, bitorder="little"))
 
 
 def _period(column: str) -> F.Column:
     return F.date_format(column, "yyyy-MM")
 
 
-def _coded(refs: list[Reference], parents: dict[str, DataFrame], id_: str, loaded: str, removed: str, buckets: int) -> DataFrame:
+def _coded(refs: list[Reference], parents: dict[str, DataFrame], id_: str, loaded: str, removed: str, fill: int) -> DataFrame:
     """Referred keys by field and period, and parents' keys, with their codes: ``range``, ``pos``."""
     live = F.when(F.col(removed).isNull(), F.coalesce(F.col(loaded).cast("timestamp"), F.lit("0001-01-01").cast("timestamp")))
     union = None
@@ -87,6 +92,8 @@ def _coded(refs: list[Reference], parents: dict[str, DataFrame], id_: str, loade
             F.lit(r.parent).alias("parent"), F.lit(k).alias("ref"), "key", "period", F.lit(None).cast("timestamp").alias("since")
         )
         union = rows if union is None else union.unionByName(rows)
+    union, seen = staged_with(union, "orphan-marks", rows=F.count("*"))
+    buckets = max(1, -(-seen["rows"] // fill))
     union = union.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     number = F.dense_rank().over(Window.partitionBy("bucket").orderBy("key")) - 1
     return (
@@ -109,34 +116,39 @@ _REFERRED, _ANY, _LIVE = 0, 1, 2
 
 def _and_not(group: pd.DataFrame) -> pd.DataFrame:
     """The surviving bits of one key range."""
-    out = []
+    out = {"range": [], "pos": [], "ref": [], "period": [], "reason": []}
+    where = group["range"].iloc[0]
+    nothing = np.zeros(1 << (RANGE_BITS - 3), np.uint8)
     for _, of in group.groupby("parent", sort=False):
-        empty = np.zeros(1 << RANGE_BITS, bool)
-        every = empty.copy()
+        every = nothing.copy()
         for b in of.loc[of["kind"] == _ANY, "bits"]:
             every |= unpack(b)
         lives = {p: unpack(b) for p, b in of.loc[of["kind"] == _LIVE, ["period", "bits"]].itertuples(index=False)}
-        live = np.logical_or.reduce(list(lives.values())) if lives else empty
+        months, upto, live = sorted(lives), [], nothing
+        for p in months:  # live up to and with each period
+            live = live | lives[p]
+            upto.append(live)
         for ref, period, bits in of.loc[of["kind"] == _REFERRED, ["ref", "period", "bits"]].itertuples(index=False):
             referred = unpack(bits)
             known = period is not None and period == period
-            upto = [m for p, m in lives.items() if known and p <= period]
-            sooner = np.logical_or.reduce(upto) if upto else empty
             found = {"missing": referred & ~every, "removed": referred & every & ~live}
             if known:
-                found["late"] = referred & live & ~sooner
-                found["close"] = referred & lives.get(period, empty)
+                k = bisect.bisect_right(months, period)
+                found["late"] = referred & live & ~(upto[k - 1] if k else nothing)
+                found["close"] = referred & lives.get(period, nothing)
             for reason, mask in found.items():
-                at = np.flatnonzero(mask)
-                if len(at):
-                    out.append(pd.DataFrame({"range": group["range"].iloc[0], "pos": at.astype(np.int64), "ref": int(ref), "period": period if known else None, "reason": reason}))
-    empty_frame = pd.DataFrame({"range": pd.Series(dtype="int64"), "pos": pd.Series(dtype="int64"), "ref": pd.Series(dtype="int32"), "period": pd.Series(dtype=object), "reason": pd.Series(dtype=object)})
-    return pd.concat(out) if out else empty_frame
+                if mask.any():
+                    at = positions(mask)
+                    out["pos"].append(at)
+                    for name, value in (("range", where), ("ref", int(ref)), ("period", period if known else None), ("reason", reason)):
+                        out[name] += [value] * len(at)
+    out["pos"] = np.concatenate(out["pos"]) if out["pos"] else np.zeros(0, np.int64)
+    return pd.DataFrame(out)
 
 
-def orphans(refs: list[Reference], parents: dict[str, DataFrame], id_: str = "id", seq: str = "seq", loaded: str = "loaded_at", removed: str = "removed_at", buckets: int = BUCKETS) -> DataFrame:
+def orphans(refs: list[Reference], parents: dict[str, DataFrame], id_: str = "id", seq: str = "seq", loaded: str = "loaded_at", removed: str = "removed_at", fill: int = FILL) -> DataFrame:
     """``ref_table``, ``ref_field``, ``seq``, ``reason``, ``period``: one row for each failing reference."""
-    coded = staged(_coded(refs, parents, id_, loaded, removed, buckets), "orphan-codes")
+    coded = staged(_coded(refs, parents, id_, loaded, removed, fill), "orphan-codes")
     marks = (
         coded.filter("ref is not null").select("range", "pos", "parent", "ref", F.lit(_REFERRED).alias("kind"), "period")
         .unionByName(coded.filter("ref is null").select("range", "pos", "parent", F.lit(None).cast("int").alias("ref"), F.lit(_ANY).alias("kind"), F.lit(None).cast("string").alias("period")))

@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -60,5 +60,12 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_with(df: DataFrame, label: str = "stage", **metrics: Column) -> tuple[DataFrame, dict]:
+    """``staged``, and aggregates over its rows that are taken while they are written (no second job)."""
+    seen = Observation()
+    table = staged(df.observe(seen, *[value.alias(name) for name, value in metrics.items()]), label)
+    return table, seen.get
+
+
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
