@@ -1,7 +1,7 @@
 """Encoding of texts: a pluggable encoder, called once for each distinct text.
 
-An encoder is anything with ``dim`` and ``encode(list of texts) -> list of vectors``; it is shipped to the
-Python workers and called on Arrow batches.  ``HashingEncoder`` needs no model: it counts words in
+An encoder is anything with ``dim`` and ``encode(list of texts) -> list of vectors``; it is pickled
+with the function that runs in the Python workers, and called on Arrow batches.  ``HashingEncoder`` needs no model: it counts words in
 hashed buckets, so vectors add up over concatenation and SQL can check them.
 """
 
@@ -60,11 +60,9 @@ class SentenceEncoder:
 
 def encoded(texts: DataFrame, encoder: Encoder, text: str = "text") -> DataFrame:
     """Distinct texts with their vectors: ``text``, ``vector``."""
-    shared = texts.sparkSession.sparkContext.broadcast(encoder)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            vectors = shared.value.encode(list(batch["text"])) if len(batch) else []
+            vectors = encoder.encode(list(batch["text"])) if len(batch) else []
             yield pd.DataFrame({"text": batch["text"], "vector": [np.asarray(v, np.float32) for v in vectors]})
 
     return texts.select(F.col(text).alias("text")).filter("text is not null").distinct().mapInPandas(run, "text string, vector array<float>")
