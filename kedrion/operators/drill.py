@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kedrion.functions.text import is_blank
 from kedrion.functions.vectors import cosine, nearest
-from kedrion.session import staged
+from kedrion.session import staged, staged_with
 
 
 @dataclass(frozen=True)
@@ -67,10 +67,10 @@ def select_seeds(queries: DataFrame, sections: DataFrame, children: DataFrame, c
         step = open_.join(ranked.filter(F.col("child_rank") <= cfg.top_k), ["query_id", "section_id"])
         step = step.select("query_id", F.col("child_id").alias("section_id"), F.concat("way", F.array(F.col("child_rank").cast("int"))).alias("way"))
         step = step.groupBy("query_id", "section_id").agg(F.min("way").alias("way")).join(visited, ["query_id", "section_id"], "left_anti")
-        frontier = staged(step, "drill")
-        if not frontier.limit(1).count():
+        frontier, seen = staged_with(step, "drill", rows=F.count("*"))
+        if not seen["rows"]:
             break
-        visited = staged(visited.unionByName(frontier.select("query_id", "section_id")), "drill")
+        visited = visited.unionByName(frontier.select("query_id", "section_id"))  # parts that are each staged
         level += 1
     order = Window.partitionBy("query_id").orderBy("level", "way")
     return seeds.select("query_id", "section_id", F.row_number().over(order).alias("rank"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kedrion.session import staged
+from kedrion.session import staged, staged_with
 
 # The relations that are followed.
 ALLOWED_RELATIONS = ("HAS_SUBSECTION", "HAS_CHUNK", "HAS_ITEM", "CAPTIONS", "LINKS_TO")
@@ -47,27 +47,27 @@ def expand(seeds: DataFrame, edges: DataFrame, cfg: ExpandConfig = ExpandConfig(
     usable = staged(usable_edges(edges, cfg.max_nodes, relations), "expand-edges")
     seeds = seeds.groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
     by_rank = Window.partitionBy("query_id").orderBy("rank")
-    reached = staged(seeds.select("query_id", "id", F.lit(0).alias("dist"), F.row_number().over(by_rank).cast("bigint").alias("rank")), "expand")
+    first = seeds.select("query_id", "id", F.lit(0).alias("dist"), F.row_number().over(by_rank).cast("bigint").alias("rank"))
+    reached, seen = staged_with(first, "expand", rows=F.count("*"))
     frontier, emitted = reached, None
     for depth in range(cfg.max_depth):
-        state = reached.groupBy("query_id").agg(F.count("*").alias("held"))
-        active = frontier.join(state.filter(F.col("held") < cfg.max_nodes).select("query_id", (F.lit(cfg.max_nodes) - F.col("held")).alias("left")), "query_id")
-        rows = active.count()
-        if not rows:
+        if not seen["rows"]:
             break
-        side = F.broadcast(active) if rows <= FEW_NODES else active
-        step = staged(usable.join(side.select("query_id", F.col("id").alias("from_id"), F.col("rank").alias("from_rank"), "left"), "from_id"), "expand")
-        met = step.groupBy("query_id", F.col("to_id").alias("id")).agg(F.min(F.struct("from_rank", "seq")).alias("key"), F.min("left").alias("left"))
+        state = reached.groupBy("query_id").agg(F.count("*").alias("held"), F.max("rank").alias("base")).filter(F.col("held") < cfg.max_nodes)
+        active = frontier.join(state, "query_id").select("query_id", F.col("id").alias("from_id"), F.col("rank").alias("from_rank"), (F.lit(cfg.max_nodes) - F.col("held")).alias("left"), "base")
+        side = F.broadcast(active) if seen["rows"] <= FEW_NODES else active
+        step = staged(usable.join(side, "from_id"), "expand")
+        met = step.groupBy("query_id", F.col("to_id").alias("id")).agg(F.min(F.struct("from_rank", "seq")).alias("key"), F.min("left").alias("left"), F.min("base").alias("base"))
         met = met.join(reached.select("query_id", "id"), ["query_id", "id"], "left_anti")
         place = Window.partitionBy("query_id").orderBy("key")
-        met = staged(met.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= F.col("left")), "expand")
+        met = met.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= F.col("left"))
+        met, seen = staged_with(met.select("query_id", "id", F.lit(depth + 1).alias("dist"), (F.col("base") + F.col("n")).alias("rank"), "key", "n", "left"), "expand", rows=F.count("*"))
         stop = met.filter(F.col("n") == F.col("left")).select("query_id", F.col("key").alias("stop"))
         go = step.join(stop, "query_id", "left").filter(F.col("stop").isNull() | (F.struct("from_rank", "seq") <= F.col("stop")))
         emit = go.select("query_id", "seq", "from_id", "to_id", "relation_type", F.lit(depth).alias("depth"), "from_rank")
         emitted = emit if emitted is None else emitted.unionByName(emit)
-        base = reached.groupBy("query_id").agg(F.max("rank").alias("base"))
-        frontier = staged(met.join(base, "query_id").select("query_id", "id", F.lit(depth + 1).alias("dist"), (F.col("base") + F.col("n")).alias("rank")), "expand")
-        reached = staged(reached.unionByName(frontier), "expand")
+        frontier = met.select("query_id", "id", "dist", "rank")
+        reached = reached.unionByName(frontier)  # parts that are each staged
     if emitted is None:
         empty = usable.crossJoin(F.broadcast(seeds.select("query_id").limit(1))).filter("false")
         emitted = empty.select("query_id", "seq", "from_id", "to_id", "relation_type", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("from_rank"))
@@ -83,5 +83,5 @@ def khop(start: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     for hop in range(1, hops + 1):
         edge = found.filter(F.col("dist") == hop - 1).select(F.col("id").alias("from_id"))
         step = links.join(edge, "from_id", "left_semi").select(F.col("to_id").alias("id")).distinct().join(found.select("id"), "id", "left_anti")
-        found = staged(found.unionByName(step.withColumn("dist", F.lit(hop))), "khop")
+        found = found.unionByName(staged(step.withColumn("dist", F.lit(hop)), "khop"))
     return found

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kedrion.functions.text import joined, stripped
 from kedrion.operators import tree_paths
-from kedrion.session import staged
+from kedrion.session import staged, staged_with
 
 
 def local_text(sections: DataFrame, text_nodes: DataFrame) -> DataFrame:
@@ -25,10 +25,10 @@ def endless(sections: DataFrame, children: DataFrame) -> DataFrame:
     found = staged(tree_paths.on_cycles(near).select("id"), "subtree-endless")
     while True:  # upwards: parents of what is endless
         above = links.join(found.toDF("e"), F.col("v") == F.col("e"), "left_semi").select(F.col("u").alias("id")).distinct()
-        above = staged(above.join(found, "id", "left_anti"), "subtree-endless")
-        if not above.limit(1).count():
+        above, seen = staged_with(above.join(found, "id", "left_anti"), "subtree-endless", rows=F.count("*"))
+        if not seen["rows"]:
             return found
-        found = staged(found.union(above), "subtree-endless")
+        found = found.union(above)  # parts that are each staged
 
 
 def closure(children: DataFrame) -> DataFrame:
@@ -36,17 +36,18 @@ def closure(children: DataFrame) -> DataFrame:
 
     Ways of up to ``2**k`` steps are joined from halves, so the rounds are the logarithm of the depth.
     """
-    every = staged(children.select(F.col("parent_id").alias("ancestor"), F.col("child_id").alias("descendant"), F.array("child_ord").alias("path")), "closure")
+    every = children.select(F.col("parent_id").alias("ancestor"), F.col("child_id").alias("descendant"), F.array("child_ord").alias("path"))
+    every, seen = staged_with(every, "closure", rows=F.count("*"))
     exact = every  # ways of exactly 2**k steps
-    while exact.limit(1).count():
+    while seen["rows"]:
         upper = exact.select("ancestor", F.col("descendant").alias("m"), F.col("path").alias("p"))
 
         def below(ways: DataFrame, upper: DataFrame = upper) -> DataFrame:
             lower = ways.select(F.col("ancestor").alias("m"), "descendant", "path")
             return upper.join(lower, "m").select("ancestor", "descendant", F.concat("p", "path").alias("path"))
 
-        longer, exact = below(every), staged(below(exact), "closure")
-        every = staged(every.unionByName(longer), "closure")
+        every = every.unionByName(staged(below(every), "closure"))  # parts that are each staged
+        exact, seen = staged_with(below(exact), "closure", rows=F.count("*"))
     return every
 
 

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kedrion.session import staged
+from kedrion.session import staged, staged_with
 
 LOCAL_LINKS = 500_000
 SIBLINGS = 50_000  # children of one parent that are numbered in one part
@@ -48,34 +48,34 @@ def single(df: DataFrame, key: str = "id", order: str = "seq", *columns: str) ->
     return rows.select(key, *[F.col("__row")[c].alias(c) for c in columns])
 
 
-def _doubled(state: DataFrame) -> tuple[DataFrame, int]:
-    """Resolve ``state`` (id, up, far, top, size, out, into); rows whose ``up`` stays set lead into a cycle."""
-    left = state.filter("up is not null").count()
+def _doubled(state: DataFrame, left: int) -> tuple[DataFrame, int]:
+    """Resolve ``state`` (id, up, far, top, size, out, into; ``left`` rows with ``up``); rows whose ``up`` stays set lead into a cycle."""
     while left:
         target = state.select(F.col("id").alias("t"), F.col("up").alias("t_up"), F.col("far").alias("t_far"), F.col("top").alias("t_top"), F.col("into").alias("t_into"))
         below = state.filter("up is not null").groupBy(F.col("up").alias("b")).agg(F.sum("size").alias("b_size"), F.sum("out").alias("b_out"))
         step = state.join(target, state["up"] == target["t"], "left").join(below, F.col("id") == F.col("b"), "left")
-        state = staged(step.select(
+        state, seen = staged_with(step.select(
             "id", F.col("t_up").alias("up"), (F.col("far") + F.coalesce("t_far", F.lit(0))).alias("far"), F.coalesce("t_top", "top").alias("top"),
             (F.col("size") + F.coalesce("b_size", F.lit(0))).alias("size"), (F.col("out") + F.coalesce("b_out", F.lit(0))).alias("out"),
             (F.col("into") | F.coalesce("t_into", F.lit(False))).alias("into"),
-        ), "tree-doubling")
-        now = state.filter("up is not null").count()
+        ), "tree-doubling", left=F.count("up"))
+        now = seen["left"]
         if now == left:
             break
         left = now
     return state, left
 
 
-def _started(nodes: DataFrame, outside: DataFrame) -> DataFrame:
-    """State of round 0 of ``nodes`` (id, up); ``outside``: the links (u, v) outside the forest."""
+def _started(nodes: DataFrame, outside: DataFrame) -> tuple[DataFrame, int]:
+    """State of round 0 of ``nodes`` (id, up) and its rows with ``up``; ``outside``: the links (u, v) outside the forest."""
     out = outside.groupBy(F.col("u").alias("o")).agg(F.count("*").alias("o_n"))
     into = outside.select(F.col("v").alias("i")).distinct()
     rows = nodes.join(out, F.col("id") == F.col("o"), "left").join(into, F.col("id") == F.col("i"), "left")
-    return staged(rows.select(
+    state, seen = staged_with(rows.select(
         "id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("far"), F.when(F.col("up").isNull(), F.col("id")).alias("top"),
         F.lit(1).cast("bigint").alias("size"), F.coalesce("o_n", F.lit(0)).alias("out"), F.col("i").isNotNull().alias("into"),
-    ), "tree-start")
+    ), "tree-start", left=F.count("up"))
+    return state, seen["left"]
 
 
 def _cuts(nodes: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def forest(nodes: DataFrame, links: DataFrame) -> DataFrame:
     outside = links.join(ids.toDF("a"), F.col("u") == F.col("a"), "left_semi").join(ids.toDF("a"), F.col("v") == F.col("a"), "left_semi")
     inner = nodes.select(F.col("id").alias("c"), F.col("up").alias("q"))
     outside = staged(outside.join(inner, (F.col("v") == F.col("c")) & (F.col("u") == F.col("q")), "left_anti"), "tree-outside")
-    state, left = _doubled(_started(nodes.select("id", "up"), outside))
+    state, left = _doubled(*_started(nodes.select("id", "up"), outside))
     up = nodes.select("id", "up")
     if left:
         lost = staged(state.filter("up is not null").select(F.col("id").alias("l")).join(nodes, F.col("l") == F.col("id")).select("id", "up"), "tree-lost")
@@ -117,7 +117,7 @@ def forest(nodes: DataFrame, links: DataFrame) -> DataFrame:
         cut = staged(cut.join(lost, "id").select("id", "up"), "tree-cut")
         outside = outside.unionByName(cut.select(F.col("up").alias("u"), F.col("id").alias("v")))
         open_ = lost.join(cut.select(F.col("id").alias("k")), F.col("id") == F.col("k"), "left").select("id", F.when(F.col("k").isNull(), F.col("up")).alias("up"))
-        again, _ = _doubled(_started(open_, outside))
+        again, _ = _doubled(*_started(open_, outside))
         state = state.filter("up is null").unionByName(again)
         up = up.join(cut.select(F.col("id").alias("k")), F.col("id") == F.col("k"), "left").select("id", F.when(F.col("k").isNull(), F.col("up")).alias("up"))
     tops = nodes.filter("is_root").select(F.col("id").alias("r"))
@@ -175,8 +175,10 @@ def _reach(start: DataFrame, links: DataFrame) -> DataFrame:
     state, last = start, None
     while True:
         come = links.join(state.toDF("w", "c"), F.col("u") == F.col("w")).select(F.col("v").alias("n"), F.col("c").alias("colour"))
-        state = staged(state.unionByName(come).groupBy("n").agg(F.max("colour").alias("colour")), "tree-reach")
-        now = state.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("n", "colour"), F.lit(1 << 40)))).first()
+        state, now = staged_with(
+            state.unionByName(come).groupBy("n").agg(F.max("colour").alias("colour")), "tree-reach",
+            rows=F.count("*"), digest=F.sum(F.pmod(F.xxhash64("n", "colour"), F.lit(1 << 40))),
+        )
         if now == last:
             return state
         last = now
@@ -185,9 +187,10 @@ def _reach(start: DataFrame, links: DataFrame) -> DataFrame:
 def on_cycles(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
     """``id`` of the nodes on a cycle of ``links`` (u, v): self-links, and components of two or more."""
     found = links.filter("u = v").select(F.col("u").alias("id")).distinct()
-    rest = staged(links.filter("u <> v").select("u", "v").distinct(), "tree-core")
+    rest, seen = staged_with(links.filter("u <> v").select("u", "v").distinct(), "tree-core", rows=F.count("*"))
+    size = seen["rows"]
     kind = rest.schema["u"].dataType.simpleString()
-    while (size := rest.count()) > local_links:
+    while size > local_links:
         nodes = rest.select("u").union(rest.select("v")).distinct().toDF("n")
         colour = _reach(nodes.select("n", F.col("n").alias("colour")), rest)
         same = rest.join(colour.toDF("a", "ca"), F.col("u") == F.col("a")).join(colour.toDF("b", "cb"), F.col("v") == F.col("b")).filter("ca = cb").select("u", "v")
@@ -196,7 +199,8 @@ def on_cycles(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
         many = back.groupBy("colour").agg(F.count("*").alias("k")).filter("k > 1").select("colour")
         found = staged(found.union(back.join(many, "colour").select(F.col("n").alias("id"))), "tree-cyclic")
         done = back.select(F.col("n").alias("d"))
-        rest = staged(same.join(done, F.col("u") == F.col("d"), "left_anti").join(done, F.col("v") == F.col("d"), "left_anti"), "tree-core")
+        rest, seen = staged_with(same.join(done, F.col("u") == F.col("d"), "left_anti").join(done, F.col("v") == F.col("d"), "left_anti"), "tree-core", rows=F.count("*"))
+        size = seen["rows"]
     if size:
         found = found.union(rest.coalesce(1).mapInPandas(_tarjan, f"id {kind}"))
     return found.distinct()
@@ -210,20 +214,22 @@ def chains(trees: DataFrame) -> DataFrame:
     kids = trees.filter("up is not null").groupBy(F.col("up").alias("hp")).agg(F.max(F.struct("size", "id"))["id"].alias("heavy"), F.count("*").alias("kids"))
     rows = trees.join(kids, F.col("up") == F.col("hp"), "left").withColumn("is_heavy", F.coalesce(F.col("id") == F.col("heavy"), F.lit(False)))
     part = F.when(F.col("is_heavy"), -1).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("kids", F.lit(1)) / SIBLINGS)))
-    rows = staged(rows.withColumn("part", part).drop("hp", "heavy", "kids"), "tree-chains")
+    rows = rows.withColumn("part", part).drop("hp", "heavy", "kids")
     before = Window.partitionBy("bu").orderBy("bp").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.filter("up is not null").groupBy(F.col("up").alias("bu"), F.col("part").alias("bp")).agg(F.sum("size").alias("s"))
     parts = parts.withColumn("base", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
     inside = Window.partitionBy("up", "part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     off = rows.join(parts, (F.col("up") == F.col("bu")) & (F.col("part") == F.col("bp")), "left")
     off = off.withColumn("off", F.when(F.col("up").isNull(), 0).otherwise(F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))).drop("bu", "bp", "base", "part")
-    off = staged(off, "tree-offsets")
+    off, seen = staged_with(off, "tree-offsets", heavy=F.count(F.when(F.col("is_heavy"), 1)))
+    left = seen["heavy"]
     state = off.select("id", F.when(F.col("is_heavy"), F.col("up")).alias("jump"), F.when(F.col("is_heavy"), 1).otherwise(0).cast("bigint").alias("place"), F.when(~F.col("is_heavy"), F.col("id")).alias("head"))
-    while state.filter("jump is not null").limit(1).count():
+    while left:
         target = state.select(F.col("id").alias("t"), F.col("jump").alias("t_jump"), F.col("place").alias("t_place"), F.col("head").alias("t_head"))
-        state = staged(state.join(target, state["jump"] == target["t"], "left").select(
+        state, seen = staged_with(state.join(target, state["jump"] == target["t"], "left").select(
             "id", F.col("t_jump").alias("jump"), (F.col("place") + F.coalesce("t_place", F.lit(0))).alias("place"), F.coalesce("head", "t_head").alias("head")
-        ), "tree-heads")
+        ), "tree-heads", left=F.count("jump"))
+        left = seen["left"]
     labels = state.select(F.col("id").alias("l"), "head", "place")
     return staged(off.drop("is_heavy").join(labels, F.col("id") == F.col("l")).drop("l"), "tree-labels")
 
@@ -234,17 +240,17 @@ def paths(trees: DataFrame) -> DataFrame:
     segment = staged(rows.groupBy(F.col("head").alias("h")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("segment")), "tree-segments")
     at = rows.select(F.col("id").alias("pi"), F.col("head").alias("ph"), F.col("place").alias("pp"))
     heads = rows.filter("id = head").select("head", "up", "off").join(at, F.col("up") == F.col("pi"), "left").join(segment, F.col("ph") == F.col("h"), "left")
-    state = staged(heads.select(
+    state, seen = staged_with(heads.select(
         "head", F.col("ph").alias("jump"),
         F.when(F.col("ph").isNull(), F.array().cast(segment.schema["segment"].dataType)).otherwise(F.slice("segment", F.lit(1), F.col("pp").cast("int") + 1)).alias("prefix"),
         F.when(F.col("ph").isNull(), 0).otherwise(F.col("pp") + 1 + F.col("off")).cast("bigint").alias("number"),
-    ), "tree-prefixes")
-    while state.filter("jump is not null").limit(1).count():
+    ), "tree-prefixes", left=F.count("jump"))
+    while seen["left"]:
         target = state.select(F.col("head").alias("t"), F.col("jump").alias("t_jump"), F.col("prefix").alias("t_prefix"), F.col("number").alias("t_number"))
-        state = staged(state.join(target, state["jump"] == target["t"], "left").select(
+        state, seen = staged_with(state.join(target, state["jump"] == target["t"], "left").select(
             "head", F.col("t_jump").alias("jump"), F.when(F.col("t").isNull(), F.col("prefix")).otherwise(F.concat("t_prefix", "prefix")).alias("prefix"),
             (F.col("number") + F.coalesce("t_number", F.lit(0))).alias("number"),
-        ), "tree-prefixes")
+        ), "tree-prefixes", left=F.count("jump"))
     whole = state.join(segment, F.col("head") == F.col("h")).select(F.col("head").alias("c"), "prefix", "segment", "number")
     lo = F.col("number") + F.col("place")
     return rows.join(whole, F.col("head") == F.col("c")).select(

@@ -36,7 +36,7 @@ def walk(edges, seeds, depth, budget):
     return order, dist, out
 
 
-@pytest.mark.parametrize("seed,depth,budget", [(1, 3, 12), (2, 4, 7), (3, 2, 1000), (4, 3, 3), (5, 5, 25)])
+@pytest.mark.parametrize("seed,depth,budget", [(1, 3, 12), (3, 2, 1000), (5, 5, 25)])
 def test_equals_the_queue(spark, seed, depth, budget):
     rng = random.Random(seed)
     kinds = [*ALLOWED_RELATIONS, "MENTIONS"]
