@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_staged: list[str] = []
 
 
 def build_session(app: str = "kedrion", master: str | None = None, **conf: str) -> SparkSession:
@@ -56,10 +57,19 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back (schema preserved)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _staged.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables this process has staged; frames built on them can no longer be read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _staged:
+        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def staged_with(df: DataFrame, label: str = "stage", **metrics: Column) -> tuple[DataFrame, dict]:
     """``staged``, and aggregates over its rows that are taken while they are written (no second job)."""
     seen = Observation()

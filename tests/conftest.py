@@ -5,14 +5,24 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from kedrion.session import build_session  # noqa: E402
+from kedrion.session import build_session, release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "tests", "local[8]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.default.parallelism": "4", "spark.sql.autoBroadcastJoinThreshold": "10m"}
+        "tests",
+        "local[8]",
+        **{  # many small jobs: no compiling of their plans
+            "spark.sql.shuffle.partitions": "2",
+            "spark.default.parallelism": "2",
+            "spark.driver.memory": "4g",
+            "spark.sql.codegen.wholeStage": "false",
+            "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+            "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1",
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
