@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _staged: list[str] = []
+_own_dir: list[str] = []
 
 
 def build_session(app: str = "kedrion", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,9 +49,9 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.conf.get("spark.master", "")
     if not master.startswith("local"):
         raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="kedrion-stage-")
-    spark.conf.set(_CHECKPOINT_KEY, folder)
-    return folder
+    if not _own_dir:
+        _own_dir.append("file://" + tempfile.mkdtemp(prefix="kedrion-stage-"))
+    return _own_dir[0]
 
 
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
