@@ -234,7 +234,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, d
         .groupBy("doc_id").agg(F.avg("grade").alias("grade"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     )
-    texts = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(rated, "doc_id", "left_semi")
+    # at most ``max_labels`` keys: the documents' texts stay where they are
+    texts = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(rated.select("doc_id")), "doc_id", "left_semi")
     found = _measured(texts).dropDuplicates(["doc_id"]).join(rated, "doc_id").toPandas().sort_values("doc_id")
     return Curves(found["cyrillic"].to_numpy(bool), found[list(_MEASURES)].to_numpy(float), found["grade"].to_numpy(float))
 
