@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 3
-#: Items of one broadcast pass, in characters of their texts.
-PASS_CHARS = 64_000_000
+#: Items of one broadcast pass, in characters of their texts: tables of some 200 MB in a worker.
+PASS_CHARS = 2_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _ODD = re.compile("[\u0300-\u036f\xaa\xb2\xb3\xb9\xba\xbc-\xbe\xc0-\u024f\u1e00-\u1eff\u2070-\u209f\u2100-\u214f\u2460-\u24ff\ufb00-\ufb06\uff00-\uffef]")

@@ -69,6 +69,15 @@ def test_operator_with_dirt(spark):
     assert sorted(map(tuple, got)) == [(1, 7), (1, 8), (4, 7), (4, 8)]
 
 
+def test_items_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr("kedrion.llm.leak_scan.PASS_CHARS", 300)
+    words = PASSAGE.split()
+    items = [(i, f"начало{i} " + " ".join(words[i % 4 :]), None) for i in range(9)]
+    docs = [(d, f"текст{d} " + PASSAGE + " и конец", None, None) for d in range(3)]
+    got = leaked_items(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert {tuple(r) for r in got} == {(d, i) for d in range(3) for i in range(9)} and len(got) == 27
+
+
 def test_empty_tables(spark):
     none, items = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, PASSAGE, None)], ITEMS)
     assert leaked_items(none, items).count() == 0
