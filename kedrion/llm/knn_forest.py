@@ -6,7 +6,9 @@
    the smallest hashes).  Every vector is indexed: it falls into one leaf of each tree;
 3. **Search** - every vector is also a query.  All trees are searched through one priority queue a
    query, keyed by the least margin on the way: the leaf it lies in of every tree comes first, then the
-   leaves across the nearest thresholds of any tree, until ``leaves`` have been opened;
+   leaves across the nearest thresholds of any tree, until ``leaves`` have been opened.  Trees are no deeper
+   than ``levels``, so the share of all vectors that is compared, and with it recall, holds as the table
+   grows; work grows with the square of the vectors from there on;
 4. **Exact reranking** - within a leaf the cosines of its queries with its vectors are computed by
    blocks, and the best ``k`` of a query over all its leaves are kept.
 
@@ -37,19 +39,20 @@ from kedrion.llm.common import first_rows
 from kedrion.session import staged
 
 K, DIM = 10, 64
-#: Enough for near neighbours (cosine 0.9 and more); for all of the k best whatever their cosine see THOROUGH.
-TREES, LEAVES, LEAF_ROWS = 4, 8, 1500
-THOROUGH = {"leaves": 24, "leaf_rows": 3000}
+#: A tree has at most LEVELS levels: from there on leaves grow with the vectors, so the share of them that a query meets does not fall.
+TREES, LEAVES, LEAF_ROWS, LEVELS = 4, 12, 6000, 4
+#: The same share in twice the leaves of half the size.
+THOROUGH = {"leaves": 24, "leaf_rows": 3000, "levels": 5}
 SAMPLE = 50_000
-BLOCK_ROWS = 4096
-DEEPEST = 12  # levels that the bounded sample can fit; beyond, leaves are cut into blocks
+BLOCK_ROWS = 32_768
+COSINES = 8_000_000  # computed at once
 
 
 class Forest:
     """Directions (trees, levels, dim) and thresholds (trees, nodes), nodes in heap order."""
 
-    def __init__(self, sample: np.ndarray, rows: int, trees: int, leaf_rows: int, seed: int = 11):
-        self.levels = max(0, min(DEEPEST, math.ceil(math.log2(max(1.0, rows / leaf_rows)))))
+    def __init__(self, sample: np.ndarray, rows: int, trees: int, leaf_rows: int, seed: int = 11, levels: int = LEVELS):
+        self.levels = max(0, min(levels, math.ceil(math.log2(max(1.0, rows / leaf_rows)))))
         rng = np.random.default_rng(seed)
         dim = sample.shape[1]
         self.directions = rng.standard_normal((trees, self.levels, dim)).astype(np.float32)
@@ -216,19 +219,20 @@ def _reranked(batches: Iterator[pa.RecordBatch], k: int, least: float, dim: int)
             if not len(index):
                 continue
             x = unit[index]
-            for s in range(0, len(query), 1024):
-                q = query[s : s + 1024]
+            step = max(1, COSINES // len(index))
+            for s in range(0, len(query), step):
+                q = query[s : s + step]
                 cosines = unit[q] @ x.T
                 where = np.searchsorted(index, q)  # a query that is in the index is no neighbour of its own
                 there = np.flatnonzero((where < len(index)) & (index[np.minimum(where, len(index) - 1)] == q))
                 cosines[there, where[there]] = -2
-                take = min(k, len(index))
-                if take < len(index):
+                near = cosines >= least
+                many = np.flatnonzero(np.count_nonzero(near, axis=1) > k)
+                if len(many):
                     # all that reach the k-th value: ties are settled by id later
-                    bound = np.partition(cosines, len(index) - take, axis=1)[:, len(index) - take]
-                    i, j = np.nonzero(cosines >= np.maximum(bound, least)[:, None])
-                else:
-                    i, j = np.nonzero(cosines >= least)
+                    bound = np.partition(cosines[many], len(index) - k, axis=1)[:, len(index) - k]
+                    near[many] = cosines[many] >= bound[:, None]
+                i, j = np.nonzero(near)
                 c = cosines[i, j]
                 ok = c > -1.5
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(q[i[ok]])), ids.take(pa.array(index[j[ok]])), pa.array(c[ok].astype(np.float32))], ["id", "other", "cos"])
@@ -246,7 +250,7 @@ def _reranked(batches: Iterator[pa.RecordBatch], k: int, least: float, dim: int)
         yield from solve(pa.Table.from_batches(held))
 
 
-def neighbours(df: DataFrame, vector: str, k: int = K, least: float = -1.0, key: str = "id", order: str = "seq", dim: int = DIM, trees: int = TREES, leaves: int = LEAVES, leaf_rows: int = LEAF_ROWS, sample: int = SAMPLE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def neighbours(df: DataFrame, vector: str, k: int = K, least: float = -1.0, key: str = "id", order: str = "seq", dim: int = DIM, trees: int = TREES, leaves: int = LEAVES, leaf_rows: int = LEAF_ROWS, levels: int = LEVELS, sample: int = SAMPLE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``id``, ``other``, ``cos``, ``rank``: the ``k`` most similar others of every vector, of cosine ``least`` or more."""
     every = staged(units(df, vector, key, order, dim), "knn-units")
     kind = every.schema["id"].dataType.simpleString()
@@ -259,7 +263,7 @@ def neighbours(df: DataFrame, vector: str, k: int = K, least: float = -1.0, key:
     drawn = firsts.select("unit").orderBy(F.xxhash64("unit")).limit(sample).toPandas()["unit"] if n else []
     points = np.frombuffer(b"".join(drawn), np.float32).reshape(-1, dim)
     sc = df.sparkSession.sparkContext
-    forest = sc.broadcast(Forest(points, n, trees, leaf_rows))
+    forest = sc.broadcast(Forest(points, n, trees, leaf_rows, levels=levels))
     size = trees << forest.value.levels
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
