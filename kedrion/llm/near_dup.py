@@ -49,8 +49,10 @@ FAN = 8
 CHUNK = 8192
 BATCH_ROWS = 60_000
 OPEN_PAIRS = 400_000
-#: Classes of up to so many copies are written as all their pairs, larger ones as pairs with their first member.
+#: Up to so many exact copies of a text are written as all their pairs, more as pairs with their first.
 COPIES_IN_FULL = 50
+#: Members of a class that meet those of another, or their own, in one block.
+BLOCK = 1000
 
 _WORD = re.compile(r"[^\W_]+")
 _CACHE = 1_000_000
@@ -92,19 +94,21 @@ def _offsets(sizes: np.ndarray) -> np.ndarray:
 
 
 def elements(df: DataFrame, key: str = "id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``id``, ``n``, ``same`` (a digest of the multiset of words) and ``elems`` of the texts with enough words."""
+    """``id``, ``n``, ``same`` (a digest of the multiset of words), ``exact`` (of the text) and ``elems`` of the texts with enough words."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
         for batch in batches:
-            kept, sizes, flat = _elements(batch.column(1).to_pylist(), min_words, cache)
+            texts = batch.column(1).to_pylist()
+            kept, sizes, flat = _elements(texts, min_words, cache)
             ends = _offsets(sizes)
             same = [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() for a, b in zip(ends, ends[1:])]
+            exact = [hashlib.blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=16).digest() for i in kept]
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), pa.array(sizes, pa.int32()), pa.array(same, pa.binary()), lists], ["id", "n", "same", "elems"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), pa.array(sizes, pa.int32()), pa.array(same, pa.binary()), pa.array(exact, pa.binary()), lists], ["id", "n", "same", "exact", "elems"])
 
-    return df.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n int, same binary, elems array<bigint>")
+    return df.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n int, same binary, exact binary, elems array<bigint>")
 
 
 def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -312,31 +316,46 @@ def class_pairs(texts: DataFrame, num: int = NUM, den: int = DEN, chunk: int = C
 
 
 def classes(df: DataFrame, key: str = "id", text: str = "text", order: str = "seq", min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(one text of each class: ``id``, ``n``, ``elems``; members of classes of several: ``id``, ``rep``, ``copies``)."""
+    """(one text of each class: ``id``, ``n``, ``elems``; members of classes of several: ``id``, ``rep``, ``copies``, ``exact``)."""
     every = staged(elements(first_rows(df, key, order), key, text, min_words), "near-texts")
     firsts = first_rows(every, "same", "id").select("id", "n", "elems")
     groups = every.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
-    members = staged(every.select("id", "same").join(groups, "same").select("id", "rep", "copies"), "near-members")
+    members = staged(every.select("id", "same", "exact").join(groups, "same").select("id", "rep", "copies", "exact"), "near-members")
     return firsts, members
 
 
 def similar_pairs(df: DataFrame, key: str = "id", text: str = "text", order: str = "seq", num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS) -> DataFrame:
     """Pairs (``id_a`` < ``id_b``) of similar records.
 
-    A class of more than ``COPIES_IN_FULL`` exact copies is written as pairs of its first member with each
-    other one, and stands by its first member in pairs with other classes; nothing else is left out.
+    More than ``COPIES_IN_FULL`` exact copies of a text are written as pairs of their first with each other
+    one, and stand by it in pairs with other texts; nothing else is left out.  Members of large classes
+    meet in blocks of ``BLOCK``.
     """
     firsts, members = classes(df, key, text, order, min_words)
     pairs = class_pairs(firsts, num, den)
-    full = members.filter(F.col("copies") <= COPIES_IN_FULL)
+    alike = members.groupBy("rep", "exact").agg(F.min("id").alias("first"), F.count("*").alias("alike")).filter(F.col("alike") > COPIES_IN_FULL)
+    marked = members.join(alike, ["rep", "exact"], "left")
+    standing = marked.filter("first is null or id = first").select("id", "rep")
+    slots = standing.groupBy("rep").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slots"))
+    standing = standing.join(slots, "rep").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int"))
+    standing = staged(standing, "near-standing")
+    large = slots.filter("slots > 1")
 
     def opened(pairs: DataFrame, side: str) -> DataFrame:
-        one = full.select(F.col("rep").alias(side), F.col("id").alias("__member"))
-        return pairs.join(one, side, "left").withColumn(side, F.coalesce("__member", side)).drop("__member")
-
+        """A pair of classes for each member of one; the pair of slots is part of the key."""
+        one = standing.select(F.col("rep").alias(side), F.col("slot").alias(f"__{side}"), F.col("id").alias("__member"))
+        rows = pairs.join(one, [side, f"__{side}"], "left").filter(f"__member is not null or __slots_{side} is null")
+        return rows.withColumn(side, F.coalesce("__member", side)).drop("__member")
+
+    for side in ("x", "y"):
+        pairs = pairs.join(large.select(F.col("rep").alias(side), F.col("slots").alias(f"__slots_{side}")), side, "left")
+        pairs = pairs.withColumn(f"__{side}", F.explode(F.sequence(F.lit(0), F.coalesce(f"__slots_{side}", F.lit(1)) - 1)))
     between = opened(opened(pairs, "x"), "y")
-    within = full.select("rep", F.col("id").alias("x")).join(full.select("rep", F.col("id").alias("y")), "rep").filter("x < y").select("x", "y")
-    star = members.filter((F.col("copies") > COPIES_IN_FULL) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("id").alias("y"))
+    every = F.explode(F.sequence(F.lit(0), F.col("slots") - 1))
+    left = standing.select("rep", F.col("id").alias("x"), F.col("slot").alias("i"), every.alias("j"))
+    right = standing.select("rep", F.col("id").alias("y"), every.alias("i"), F.col("slot").alias("j"))
+    within = left.join(right, ["rep", "i", "j"]).filter("x < y").select("x", "y")
+    star = marked.filter("id <> first").select(F.col("first").alias("x"), F.col("id").alias("y"))
     every = between.select("x", "y").union(within).union(star)
     return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 

@@ -27,7 +27,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The group, the class of exact copies and the number of links of every passage with a similar one."""
+    """The group, the class of texts of the same words and the number of links of every passage with a similar one."""
     return near_dup.groups(load_table(spark, sf_dir, "text_nodes"))
 
 

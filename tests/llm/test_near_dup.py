@@ -77,6 +77,21 @@ def test_groups_and_many_copies(spark, monkeypatch):
     assert {r.group_id for r in got.values()} == {"c0"} and got["near"].n_links == 8 and got["c5"].n_links == 8 and got["c5"].class_id == "c0"
 
 
+def test_large_classes_of_different_texts(spark, monkeypatch):
+    """Texts of the same words in another order are no exact copies: all their pairs are written."""
+    monkeypatch.setattr(nd, "COPIES_IN_FULL", 50)
+    monkeypatch.setattr(nd, "BLOCK", 20, raising=False)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(30)]
+    other = base[:-1] + ["other"]
+    texts = [" ".join(rng.sample(words, 30)) for words in (base, other) for _ in range(51)]
+    rows = [(k, f"v{k:03d}", t, 0, "", "") for k, t in enumerate(texts)] + [(200 + k, f"w{k:03d}", texts[0], 0, "", "") for k in range(60)]
+    got = [tuple(r) for r in nd.similar_pairs(spark.createDataFrame(rows, ROWS)).collect()]
+    ids = [f"v{k:03d}" for k in range(102)]
+    assert len(got) == len(set(got))
+    assert set(got) == {(a, b) for a in ids for b in ids if a < b} | {("v000", f"w{k:03d}") for k in range(60)}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], ROWS)
     assert nd.similar_pairs(df).count() == 0 and nd.groups(df).count() == 0
