@@ -64,11 +64,11 @@ def _thin(found: list[int]) -> list[int]:
 def boundaries(text: str, step: int) -> list[tuple[int, int]]:
     """(position, kind) in order, from 0 to the end, no two further apart than ``step``."""
     n = len(text)
-    lines = _thin([m.end() for m in _LINE.finditer(text) if m.end() < n])
-    known = [(0, 0)]
-    for p in lines:
-        known.append((p, 0 if p > 1 and text[p - 2] in "\n\r" and "\n" in text[max(0, p - 3) : p - 1] else 1))
-    known.append((n, 0))
+    ends: tuple[list[int], list[int]] = ([], [])  # of paragraphs, of lines
+    for p in (m.end() for m in _LINE.finditer(text)):
+        if p < n:
+            ends[0 if p > 1 and text[p - 2] in "\n\r" and "\n" in text[max(0, p - 3) : p - 1] else 1].append(p)
+    known = [(0, 0), *sorted((p, kind) for kind in (0, 1) for p in _thin(ends[kind])), (n, 0)]
     for kind, pattern in ((2, _SENTENCE), (3, _SPACE), (4, None)):
         out = [known[0]]
         for (a, _), b in zip(known, known[1:]):

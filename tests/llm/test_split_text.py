@@ -64,6 +64,15 @@ def test_natural_boundaries_are_taken():
     assert {k for *_, k in check("я" * 9000, 2000, 200)[:-1]} == {4}
 
 
+def test_paragraphs_are_kept_among_short_lines():
+    text = "ab\n" * 5 + "cd\n\n" + "ef\n" * 20
+    text = text * 60
+    found = dict(sp.boundaries(text, 1800))
+    ends = [i + 2 for i in range(len(text)) if text.startswith("\n\n", i)]
+    assert all(found.get(p) == 0 for p in ends)
+    assert {k for *_, k in check(text, 2000, 200)} == {0}
+
+
 @pytest.mark.parametrize("text,kind", [("a\n" * 1500, "line"), ("б " * 1500, "word"), ("в" * 2001, "none"), ("г" * 2000 + "\n" + "д" * 2000, "line"), (" ".join(["е" * 1500] * 2), "word")])
 def test_coarsest_boundary(text, kind):
     assert sp.coarsest(text) == kind
