@@ -1,8 +1,7 @@
 """Streaming ingest: the typed scans over arriving nodes and edges.
 
 The reference model is a batch one; its stateless scans hold for streams as they are.  Arriving files are
-read with a stated schema; latest rows by id are kept by merging each micro-batch into the shared
-table (``foreachBatch``), so no unbounded state is held by the stream.
+read with a stated schema and no state is held by the stream: an id that is loaded again keeps all its rows.
 """
 
 from __future__ import annotations
