@@ -56,7 +56,7 @@ _VECTORS = (("embedding", "text_nodes"), ("e_local", "sections"), ("e_subtree",
 def p5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 most similar vectors of every vector of each column."""
     parts = [
-        knn_forest.neighbours(load_table(spark, sf_dir, table), field, **knn_forest.THOROUGH).withColumn("vec_field", F.lit(field))
+        knn_forest.neighbours(load_table(spark, sf_dir, table), field).withColumn("vec_field", F.lit(field))
         for field, table in _VECTORS
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
