@@ -5,19 +5,22 @@ each piece but the first begins exactly ``overlap`` characters before the end of
 So the pieces are given by their ends ``e1 < e2 < ... = len(text)`` with ``e1 <= limit`` and steps of at
 most ``limit - overlap``.
 
-* **boundary positions** - after a blank line, a line, a sentence, a word; a finer kind is taken up only
-  inside a stretch that coarser boundaries leave too long for one step, and cuts inside a run without
-  any white space lie on a grid.  Of boundaries of one kind closer together than ``GRID`` the first and
-  the last are kept, which bounds the work a character and moves no boundary of a coarser kind;
+* **boundary positions** - every end of a paragraph (blank line), line, sentence and word of the whole text.  A
+  stretch without white space that is longer than a step has no boundary inside; only there cuts lie on a
+  grid of ``GRID`` characters.  (In a shorter one a cut is never cheapest: two cuts at ends of words take its
+  place for less.);
 * **cost** - of a cut, the penalty of its kind and one for the piece; of a piece, the square of its
   relative distance from the even size;
-* **dynamic programme** - least cost to end a piece at each position, over the positions one step
-  before; the pieces follow from the kept predecessors.
+* **dynamic programme** - least cost to end a piece at each position, over all positions one step
+  before; the pieces follow from the kept predecessors.  Positions are solved in blocks of ``BLOCK``, from
+  the positions before the block at once; two steps in a row that together fit in one are never cheapest,
+  so within a block one more step is all there can be.
 
-Work is linear in the text.  Only texts over the limit reach Python, each as one row.
+``boundary`` tells, of the whole text, the coarsest boundary that suffices.  It is the bottleneck of
+the same programme without overlap: the least kind (``line``, ``word``, ``none``) whose boundaries alone lead to
+the end in pieces of at most ``limit``, where a line end or white space may itself lie on either side of a cut.
 
-``boundary`` tells, of the whole text, the coarsest boundary that suffices: ``line`` if no line
-exceeds the limit, else ``word`` if no run without white space does, else ``none``.
+Only texts over the limit reach Python, each as one row; the work is linear in the text.
 
 Defined results: null, empty and short texts give no row (or themselves as one piece with
 ``whole=True``); repeated rows give repeated pieces; ties go to the later predecessor; other columns
@@ -30,93 +33,107 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP, GRID = 2000, 200, 50
 KINDS = ("paragraph", "line", "sentence", "word", "none")
-PENALTY = (0.0, 0.25, 1.0, 4.0, 16.0)
+PENALTY = np.array((0.0, 0.25, 1.0, 4.0, 16.0))
+BLOCK = 64
 
-_LINE = re.compile(r"\n")
 _SENTENCE = re.compile(r"[.!?…][)»\"”']*\s+")
-_SPACE = re.compile(r"\s+")
+_SPACE = np.zeros(1 << 16, bool)
+_SPACE[[c for c in range(1 << 16) if chr(c).isspace()]] = True  # none lies beyond
 
 
-def coarsest(text: str, limit: int = LIMIT) -> str:
-    if len(max(text.split("\n"), key=len)) <= limit:
-        return "line"
-    return "word" if max(map(len, text.split()), default=0) <= limit else "none"
+def _characters(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, whether white space) of the text."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return code, _SPACE[np.minimum(code, 0xFFFF)]
+
 
+def _solvable(at: np.ndarray, n: int, limit: int) -> bool:
+    """Whether a programme without overlap over the boundaries ``at`` reaches the end: no two neighbours are too far apart."""
+    return bool(np.diff(at, prepend=0, append=n).max() <= limit)
 
-def _thin(found: list[int]) -> list[int]:
-    """Of positions in one cell of the grid, the first and the last."""
-    if len(found) < 3:
-        return found
-    out = [found[0]]
-    for before, at, after in zip(found, found[1:], found[2:]):
-        if at // GRID != before // GRID or at // GRID != after // GRID:
-            out.append(at)
-    out.append(found[-1])
-    return out
+
+def coarsest(text: str, limit: int = LIMIT) -> str:
+    code, space = _characters(text)
+    line = np.flatnonzero(code == 10)
+    if _solvable(np.stack([line, line + 1], axis=1).ravel(), len(text), limit):
+        return "line"
+    word = np.flatnonzero(space)
+    return "word" if _solvable(np.stack([word, word + 1], axis=1).ravel(), len(text), limit) else "none"
 
 
-def boundaries(text: str, step: int) -> list[tuple[int, int]]:
-    """(position, kind) in order, from 0 to the end, no two further apart than ``step``."""
+def boundaries(text: str, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, kinds) in order, from 0 to the end, no two further apart than ``step``."""
     n = len(text)
-    ends: tuple[list[int], list[int]] = ([], [])  # of paragraphs, of lines
-    for p in (m.end() for m in _LINE.finditer(text)):
-        if p < n:
-            ends[0 if p > 1 and text[p - 2] in "\n\r" and "\n" in text[max(0, p - 3) : p - 1] else 1].append(p)
-    known = [(0, 0), *sorted((p, kind) for kind in (0, 1) for p in _thin(ends[kind])), (n, 0)]
-    for kind, pattern in ((2, _SENTENCE), (3, _SPACE), (4, None)):
-        out = [known[0]]
-        for (a, _), b in zip(known, known[1:]):
-            if b[0] - a > step:
-                if pattern:
-                    finer = _thin([m.end() for m in pattern.finditer(text, a, b[0]) if a < m.end() < b[0]])
-                else:
-                    finer = list(range(a + GRID, b[0], GRID))
-                    finer = [p - 1 if unicodedata.combining(text[p]) or text[p - 1 : p + 1] == "\r\n" else p for p in finer]
-                out.extend((p, kind) for p in finer)
-            out.append(b)
-        known = out
-    return known
+    code, space = _characters(text)
+    kind = np.full(n + 1, 9, np.int8)
+    kind[1:n][space[:-1] & ~space[1:]] = 3
+    kind[np.array([m.end() for m in _SENTENCE.finditer(text)], np.int64)] = 2
+    line = np.flatnonzero(code == 10) + 1
+    kind[line] = 1
+    bare = line - 1 - (code[np.maximum(line - 2, 0)] == 13) * (line > 1)  # where the line before the break ends
+    kind[line[(bare > 0) & (code[np.maximum(bare - 1, 0)] == 10)]] = 0
+    kind[[0, n]] = 0
+    at = np.flatnonzero(kind < 9)
+    if (np.diff(at) > step).any():
+        for k in np.flatnonzero(np.diff(at) > step):
+            for p in range(at[k] + GRID, at[k + 1], GRID):
+                kind[p - 1 if unicodedata.combining(text[p]) or text[p - 1 : p + 1] == "\r\n" else p] = 4
+        at = np.flatnonzero(kind < 9)
+    return at, kind[at]
+
+
+def programme(at: np.ndarray, kind: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least cost to end a piece, predecessor) of each boundary."""
+    n, step = int(at[-1]), limit - overlap
+    count = 1 + -(-(n - limit) // step)
+    even = (n + (count - 1) * overlap) / count  # size of a piece
+    p = at / even
+    base = overlap / even - 1
+    own = 1 + PENALTY[kind]
+    cost, come = np.full(len(at), np.inf), np.full(len(at), -1)
+    first = np.searchsorted(at, at - step)  # the earliest predecessor of each
+    start = 1
+    while start < len(at):
+        end = min(start + BLOCK, int(np.searchsorted(at, at[start] + step, "right")), len(at))
+        block = np.arange(start, end)
+        head = (at[block] <= limit) & ((at[block] > overlap) | (block == len(at) - 1))
+        best = np.where(head, (p[block] - 1) ** 2, np.inf)
+        origin = np.where(head, 0, -1)
+        cost[block] = best + own[block]
+        for low, high in ((max(1, first[start]), start), (start, end)):  # from before the block, then within it
+            if low >= high:
+                continue
+            before = np.arange(high - 1, low - 1, -1)  # ties go to the later one
+            c = (p[block][:, None] - (p[before] - base)[None, :]) ** 2 + cost[before]
+            c[(before[None, :] < first[block][:, None]) | (before[None, :] >= block[:, None])] = np.inf
+            least = c.argmin(axis=1)
+            value = c[np.arange(len(block)), least]
+            better = (value < best) | ((value == best) & np.isfinite(value))
+            best, origin = np.where(better, value, best), np.where(better, before[least], origin)
+            cost[block] = best + own[block]
+        come[block] = origin
+        start = end
+    return cost, come
 
 
 def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
     """(start, end, kind of the cut at the end) of each piece."""
-    n, step = len(text), limit - overlap
+    n = len(text)
     if n <= limit:
         return [(0, n, 0)]
-    marks = boundaries(text, step)
-    at = [p for p, _ in marks]
-    count = 1 + -(-(n - limit) // step)
-    even = (n + (count - 1) * overlap) / count  # size of a piece
-    last = len(at) - 1
-    best, come = [0.0] * (last + 1), [-1] * (last + 1)
-    inf = float("inf")
-    low = 0
-    for j in range(1, last + 1):
-        p = at[j]
-        least, origin = inf, -1
-        if overlap < p <= limit or j == last and p <= limit:
-            d = (p - even) / even
-            least, origin = d * d, 0
-        while at[low] < p - step:
-            low += 1
-        base = overlap - even
-        for i in range(max(low, 1), j):
-            d = (p - at[i] + base) / even
-            c = best[i] + d * d
-            if c <= least:
-                least, origin = c, i
-        best[j] = least + 1 + PENALTY[marks[j][1]]
-        come[j] = origin
-    out, j = [], last
+    at, kind = boundaries(text, limit - overlap)
+    _, come = programme(at, kind, limit, overlap)
+    out, j = [], len(at) - 1
     while j > 0:
-        i = come[j]
-        out.append((at[i] - overlap if i > 0 else 0, at[j], marks[j][1] if j < last else 0))
+        i = int(come[j])
+        out.append((int(at[i]) - overlap if i > 0 else 0, int(at[j]), int(kind[j])))
         j = i
     return out[::-1]
 

@@ -1,6 +1,10 @@
 import itertools
 import random
+import re
+import unicodedata
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,7 +49,7 @@ def test_cuts_cost_the_least(monkeypatch):
         limit, overlap = 20, 4
         if len(text) <= limit:
             continue
-        marks = dict(sp.boundaries(text, limit - overlap))
+        marks = dict(zip(*map(list, sp.boundaries(text, limit - overlap))))
         inner = [p for p in marks if 0 < p < len(text)]
         best = min(
             cost(text, [*c, len(text)], limit, overlap, marks)
@@ -57,6 +61,57 @@ def test_cuts_cost_the_least(monkeypatch):
         assert abs(cost(text, ends, limit, overlap, marks) - best) < 1e-9
 
 
+def plain(text, limit, overlap, at, kind):
+    """Least cost over the given boundaries, one position after another."""
+    step = limit - overlap
+    count = 1 + -(-(len(text) - limit) // step)
+    even = (len(text) + (count - 1) * overlap) / count
+    best = np.full(len(at), np.inf)
+    for j in range(1, len(at)):
+        if overlap < at[j] <= limit:
+            best[j] = ((at[j] - even) / even) ** 2
+        i = np.arange(max(1, np.searchsorted(at, at[j] - step)), j)
+        if len(i):
+            best[j] = min(best[j], (best[i] + ((at[j] - at[i] + overlap - even) / even) ** 2).min())
+        best[j] += 1 + sp.PENALTY[kind[j]]
+    return best[-1]
+
+
+@pytest.mark.parametrize("table,field", [("text_nodes", "text"), ("sections", "subtree_text")])
+def test_no_split_over_all_boundaries_is_cheaper(table, field):
+    """All texts of sf0.01: every end of a paragraph, line, sentence and word is open to the plain programme."""
+    rows = pq.read_table(f"/root/testdata/sf0.01/{table}.parquet", columns=[field]).column(0).to_pylist()
+    some = [t for t in rows if t and len(t) > sp.LIMIT]
+    assert some
+    for text in some:
+        marks = {m.end(): 3 for m in re.finditer(r"\s+", text)}
+        marks |= {m.end(): 2 for m in re.finditer(r"[.!?…][)»\"”']*\s+", text)}
+        marks |= {m.end(): 1 for m in re.finditer(r"\n", text)}
+        marks |= {m.end(): 0 for m in re.finditer(r"(?<=\n)\r?\n", text)}
+        marks[len(text)] = 0
+        at = sorted(marks)
+        for a, b in zip([0, *at], at):
+            if b - a > 1800:
+                marks |= {p: 4 for p in range(a + sp.GRID, b, sp.GRID) if not unicodedata.combining(text[p])}
+        at = np.array([0, *sorted(marks)])
+        kind = np.array([0, *(marks[p] for p in at[1:])])
+        mine = sp.pieces(text)
+        assert cost(text, [b for _, b, _ in mine], sp.LIMIT, sp.OVERLAP, marks) <= plain(text, sp.LIMIT, sp.OVERLAP, at, kind) + 1e-6
+
+
+def test_cuts_inside_words_that_fit_are_never_cheapest():
+    rng = random.Random(9)
+    for _ in range(60):
+        text = "".join(rng.choice(["а", "бв", " ", "где. ", "\n"]) for _ in range(60))
+        limit, overlap = 24, rng.choice([0, 4, 8])
+        at, kind = sp.boundaries(text, limit - overlap)
+        every = np.arange(len(text) + 1)
+        kinds = np.full(len(every), 4)
+        kinds[at] = kind
+        if len(text) > limit and not (kind == 4).any():
+            assert sp.programme(at, kind, limit, overlap)[0][-1] <= plain(text, limit, overlap, every, kinds) + 1e-9
+
+
 def test_natural_boundaries_are_taken():
     text = "\n".join("Строка номер %d. " % i + "слово " * 20 for i in range(100))
     assert {k for *_, k in check(text, 2000, 200)[:-1]} == {1}
@@ -67,7 +122,7 @@ def test_natural_boundaries_are_taken():
 def test_paragraphs_are_kept_among_short_lines():
     text = "ab\n" * 5 + "cd\n\n" + "ef\n" * 20
     text = text * 60
-    found = dict(sp.boundaries(text, 1800))
+    found = dict(zip(*map(list, sp.boundaries(text, 1800))))
     ends = [i + 2 for i in range(len(text)) if text.startswith("\n\n", i)]
     assert all(found.get(p) == 0 for p in ends)
     assert {k for *_, k in check(text, 2000, 200)} == {0}
