@@ -1,9 +1,11 @@
+import pathlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from kedrion.llm import source_mix as sm
+from kedrion.llm.queries import TOKENIZER
 
 DOCS = "doc_id bigint, source string, weight double, tokens bigint"
 TARGETS = "source string, target_share double, max_repeats int, needed string"
@@ -62,10 +64,29 @@ def test_empty_and_nothing_to_take(spark, rows):
 def test_token_counts(spark):
     texts = ["Привет, мир!", "", None, "one two  three\n", "слово " * 50_000, "<|endoftext|>"]
     df = spark.createDataFrame([(i, t, " A-b ", "x") for i, t in enumerate(texts)], "doc_id bigint, text string, source string, tokens string")
-    got = {r.doc_id: r for r in sm.sized(df, F.lower("source")).collect()}
-    encode = sm.encoder(sm.TOKENIZER, sm.PATTERN)
+    got = {r.doc_id: r for r in sm.sized(df, F.lower("source"), TOKENIZER).collect()}
+    encode = sm.encoder(pathlib.Path(TOKENIZER).read_bytes(), sm.PATTERN)
     assert got[1].tokens == got[2].tokens == 0 and got[4].tokens >= 50_000 and got[0].source == " a-b "
     for i in (0, 3, 5):
         ids = encode.encode_ordinary(texts[i])
         assert got[i].tokens == len(ids) and encode.decode(ids) == texts[i]  # an exact round trip
-    assert sm.sized(df.limit(0), F.lower("source")).count() == 0
+    assert sm.sized(df.limit(0), F.lower("source"), TOKENIZER).count() == 0
+
+
+def test_many_spellings_that_are_no_target(spark):
+    """Sums, cuts and shares have one row for each target, however many other spellings there are."""
+    df = spark.range(60_000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 6 == 0, "s").otherwise(F.concat(F.lit("x"), "id")).alias("source"), F.lit(1.0).alias("weight"), F.lit(10).cast("bigint").alias("tokens")
+    )
+    chosen, report = sm.mix(df, spark.createDataFrame([("s", 0.1, 3, "")], TARGETS))
+    row = report.collect()[0]
+    assert row.given == 60_000 and row.available == 100_000 and not row.short
+    got = chosen.groupBy("repeats").count().collect()
+    assert {r.repeats: r["count"] for r in got} == {0: 54_000, 1: 6_000}
+
+
+def test_short_follows_from_the_draw(spark):
+    df = spark.createDataFrame([(i, "s" if i < 10 else "t", 1.0, 100) for i in range(100)], DOCS)
+    told = {r.source: r for r in sm.mix(df, spark.createDataFrame([("s", 0.3, 2, ""), ("t", 0.7, 1, ""), ("u", 0.1, 5, ""), ("v", 0.0, 5, "")], TARGETS))[1].collect()}
+    assert told["s"].short and told["s"].given == 2000 and not told["t"].short and told["t"].given == 7000
+    assert told["u"].short and not told["v"].short
