@@ -4,13 +4,13 @@ Heavy-path decomposition, built with joins and aggregates only:
 
 1. **Cycle separation** - pointer doubling over the parent links resolves every node that arrives at a
    root, in ``log2(depth)`` rounds, and carries subtree sizes along: in round ``k`` a node adds what the nodes
-   ``2**k`` below it have gathered.  Nodes that never arrive lead into a cycle of parent links; those
+   ``2**k`` below it have gathered.  Nodes that have arrived and are no longer pointed at take no part in later rounds.  Nodes that never arrive lead into a cycle of parent links; those
    cycles are cut above their least node and the rest is resolved the same way;
 2. **Chains** - the heavy child of a node is that of the largest subtree; maximal runs of heavy links are
    the chains, labelled by doubling along heavy links with their head and place;
 3. **Paths** - the path of a node is the path to the parent of its chain's head, then the chain's segment down to
    the node.  A root path meets at most ``log2(n)`` chains, so segments are concatenated by doubling over
-   chains in ``log2(log2(n))`` rounds;
+   chains in ``log2(log2(n))`` rounds; depths and numbers are added up in the same way;
 4. **Descendants** - nodes are numbered heavy child first, so a chain is an interval and the descendants
    of a node are one: ``sub_lo + 1 .. sub_hi`` of its tree's numbers.
 
@@ -30,15 +30,16 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kedrion.session import staged, staged_with
 
 LOCAL_LINKS = 500_000
+SPAN = 10_000  # numbers of an interval that are listed at once
 SIBLINGS = 50_000  # children of one parent that are numbered in one part
 
 
@@ -49,21 +50,44 @@ def single(df: DataFrame, key: str = "id", order: str = "seq", *columns: str) ->
 
 
 def _doubled(state: DataFrame, left: int) -> tuple[DataFrame, int]:
-    """Resolve ``state`` (id, up, far, top, size, out, into; ``left`` rows with ``up``); rows whose ``up`` stays set lead into a cycle."""
+    """Resolve ``state`` (id, up, top, size, out, into; ``left`` rows with ``up``); rows whose ``up`` stays set lead into a cycle.
+
+    Only rows that are open or pointed at go on to the next round: what no open row points at is never pointed at later.
+    """
+    final = None
     while left:
-        target = state.select(F.col("id").alias("t"), F.col("up").alias("t_up"), F.col("far").alias("t_far"), F.col("top").alias("t_top"), F.col("into").alias("t_into"))
-        below = state.filter("up is not null").groupBy(F.col("up").alias("b")).agg(F.sum("size").alias("b_size"), F.sum("out").alias("b_out"))
-        step = state.join(target, state["up"] == target["t"], "left").join(below, F.col("id") == F.col("b"), "left")
-        state, seen = staged_with(step.select(
-            "id", F.col("t_up").alias("up"), (F.col("far") + F.coalesce("t_far", F.lit(0))).alias("far"), F.coalesce("t_top", "top").alias("top"),
-            (F.col("size") + F.coalesce("b_size", F.lit(0))).alias("size"), (F.col("out") + F.coalesce("b_out", F.lit(0))).alias("out"),
-            (F.col("into") | F.coalesce("t_into", F.lit(False))).alias("into"),
+        ahead = state.filter("up is not null")
+        target = state.select(F.col("id").alias("t"), F.col("up").alias("t_up"), F.col("top").alias("t_top"), F.col("into").alias("t_into"))
+        below = ahead.groupBy(F.col("up").alias("b")).agg(F.sum("size").alias("b_size"), F.sum("out").alias("b_out"))
+        moved = ahead.join(target, ahead["up"] == target["t"]).select("id", F.col("t_up").alias("up"), F.coalesce("t_top", "top").alias("top"), "size", "out", (F.col("into") | F.col("t_into")).alias("into"))
+        step = moved.unionByName(state.filter("up is null")).join(below, F.col("id") == F.col("b"), "left")
+        table, seen = staged_with(step.select(
+            "id", "up", "top", (F.col("size") + F.coalesce("b_size", F.lit(0))).alias("size"), (F.col("out") + F.coalesce("b_out", F.lit(0))).alias("out"),
+            "into", (F.col("up").isNotNull() | F.col("b").isNotNull()).alias("kept"),
         ), "tree-doubling", left=F.count("up"))
+        settled, state = table.filter("not kept").drop("kept"), table.filter("kept").drop("kept")
+        final = settled if final is None else final.unionByName(settled)  # parts that are each staged
         now = seen["left"]
         if now == left:
             break
         left = now
-    return state, left
+    return (state if final is None else final.unionByName(state)), left
+
+
+def _resolved(start: DataFrame, key: str, label: str, **add: Callable[[Column, Column], Column]) -> DataFrame:
+    """Follow ``jump`` of ``start`` by doubling until it is null; ``add`` says how a field takes up that of the row jumped to.
+
+    Rows that have arrived stay where they are written; only the others are joined and written again.
+    """
+    table, seen = staged_with(start, label, left=F.count("jump"))
+    done, ahead = table.filter("jump is null"), table.filter("jump is not null")
+    while seen["left"]:
+        target = done.unionByName(ahead).select(F.col(key).alias("__t"), F.col("jump").alias("__jump"), *[F.col(c).alias(f"__{c}") for c in add])
+        step = ahead.join(target, F.col("jump") == F.col("__t"))
+        step = step.select(key, F.col("__jump").alias("jump"), *[f(F.col(c), F.col(f"__{c}")).alias(c) for c, f in add.items()])
+        table, seen = staged_with(step, label, left=F.count("jump"))
+        done, ahead = done.unionByName(table.filter("jump is null")), table.filter("jump is not null")
+    return done.drop("jump")
 
 
 def _started(nodes: DataFrame, outside: DataFrame) -> tuple[DataFrame, int]:
@@ -72,7 +96,7 @@ def _started(nodes: DataFrame, outside: DataFrame) -> tuple[DataFrame, int]:
     into = outside.select(F.col("v").alias("i")).distinct()
     rows = nodes.join(out, F.col("id") == F.col("o"), "left").join(into, F.col("id") == F.col("i"), "left")
     state, seen = staged_with(rows.select(
-        "id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("far"), F.when(F.col("up").isNull(), F.col("id")).alias("top"),
+        "id", "up", F.when(F.col("up").isNull(), F.col("id")).alias("top"),
         F.lit(1).cast("bigint").alias("size"), F.coalesce("o_n", F.lit(0)).alias("out"), F.col("i").isNotNull().alias("into"),
     ), "tree-start", left=F.count("up"))
     return state, seen["left"]
@@ -96,7 +120,7 @@ def _cuts(nodes: DataFrame) -> DataFrame:
 
 
 def forest(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``id``, ``up`` (parent in the forest), ``top``, ``depth``, ``size``, ``rooted``, ``core``.
+    """``id``, ``up`` (parent in the forest), ``top``, ``size``, ``rooted``, ``core``.
 
     ``nodes``: ``id``, ``parent`` (one row an id).  ``links``: distinct (u, v), ``u`` a parent of ``v``, beside ``parent``.
     ``rooted``: the way up ends at a node whose parent is null.  ``core``: may lie on a cycle of all links.
@@ -121,9 +145,9 @@ def forest(nodes: DataFrame, links: DataFrame) -> DataFrame:
         state = state.filter("up is null").unionByName(again)
         up = up.join(cut.select(F.col("id").alias("k")), F.col("id") == F.col("k"), "left").select("id", F.when(F.col("k").isNull(), F.col("up")).alias("up"))
     tops = nodes.filter("is_root").select(F.col("id").alias("r"))
-    found = state.select(F.col("id").alias("s"), "top", (F.col("far") + 1).alias("depth"), "size", ((F.col("out") > 0) & F.col("into")).alias("core"))
+    found = state.select(F.col("id").alias("s"), "top", "size", ((F.col("out") > 0) & F.col("into")).alias("core"))
     found = up.join(found, F.col("id") == F.col("s")).join(tops, F.col("top") == F.col("r"), "left")
-    return staged(found.select("id", "up", "top", "depth", "size", F.col("r").isNotNull().alias("rooted"), "core"), "tree-forest")
+    return staged(found.select("id", "up", "top", "size", F.col("r").isNotNull().alias("rooted"), "core"), "tree-forest")
 
 
 def _tarjan(links: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,72 +231,89 @@ def on_cycles(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
 
 
 def chains(trees: DataFrame) -> DataFrame:
-    """``id``, ``up``, ``top``, ``depth``, ``size``, ``rooted``, ``head``, ``place``, ``off``: chains of the forest.
+    """``id``, ``up``, ``top``, ``size``, ``rooted``, ``head``, ``place``, ``off``: chains of the forest.
 
     ``off``: subtree sizes of the siblings numbered before the node (heavy child first).
     """
-    kids = trees.filter("up is not null").groupBy(F.col("up").alias("hp")).agg(F.max(F.struct("size", "id"))["id"].alias("heavy"), F.count("*").alias("kids"))
-    rows = trees.join(kids, F.col("up") == F.col("hp"), "left").withColumn("is_heavy", F.coalesce(F.col("id") == F.col("heavy"), F.lit(False)))
-    part = F.when(F.col("is_heavy"), -1).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("kids", F.lit(1)) / SIBLINGS)))
+    under = trees.filter("up is not null")
+    kids = under.groupBy(F.col("up").alias("hp")).agg(F.max(F.struct("size", "id"))["id"].alias("heavy"), F.count("*").alias("kids"))
+    rows = under.join(kids, F.col("up") == F.col("hp")).withColumn("is_heavy", F.col("id") == F.col("heavy"))
+    part = F.when(F.col("is_heavy"), -1).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.col("kids") / SIBLINGS)))
     rows = rows.withColumn("part", part).drop("hp", "heavy", "kids")
     before = Window.partitionBy("bu").orderBy("bp").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.filter("up is not null").groupBy(F.col("up").alias("bu"), F.col("part").alias("bp")).agg(F.sum("size").alias("s"))
+    parts = rows.groupBy(F.col("up").alias("bu"), F.col("part").alias("bp")).agg(F.sum("size").alias("s"))
     parts = parts.withColumn("base", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
     inside = Window.partitionBy("up", "part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    off = rows.join(parts, (F.col("up") == F.col("bu")) & (F.col("part") == F.col("bp")), "left")
-    off = off.withColumn("off", F.when(F.col("up").isNull(), 0).otherwise(F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))).drop("bu", "bp", "base", "part")
-    off, seen = staged_with(off, "tree-offsets", heavy=F.count(F.when(F.col("is_heavy"), 1)))
-    left = seen["heavy"]
-    state = off.select("id", F.when(F.col("is_heavy"), F.col("up")).alias("jump"), F.when(F.col("is_heavy"), 1).otherwise(0).cast("bigint").alias("place"), F.when(~F.col("is_heavy"), F.col("id")).alias("head"))
-    while left:
-        target = state.select(F.col("id").alias("t"), F.col("jump").alias("t_jump"), F.col("place").alias("t_place"), F.col("head").alias("t_head"))
-        state, seen = staged_with(state.join(target, state["jump"] == target["t"], "left").select(
-            "id", F.col("t_jump").alias("jump"), (F.col("place") + F.coalesce("t_place", F.lit(0))).alias("place"), F.coalesce("head", "t_head").alias("head")
-        ), "tree-heads", left=F.count("jump"))
-        left = seen["left"]
-    labels = state.select(F.col("id").alias("l"), "head", "place")
+    off = rows.join(parts, (F.col("up") == F.col("bu")) & (F.col("part") == F.col("bp")))
+    off = off.withColumn("off", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0))).drop("bu", "bp", "base", "part")
+    tops = trees.filter("up is null").withColumn("is_heavy", F.lit(False)).withColumn("off", F.lit(0).cast("bigint"))  # no siblings
+    off = staged(off.unionByName(tops), "tree-offsets")
+    heavy = F.col("is_heavy")
+    start = off.select("id", F.when(heavy, F.col("up")).alias("jump"), F.when(heavy, 1).otherwise(0).cast("bigint").alias("place"), F.when(~heavy, F.col("id")).alias("head"))
+    labels = _resolved(start, "id", "tree-heads", place=lambda a, b: a + b, head=F.coalesce).withColumnRenamed("id", "l")
     return staged(off.drop("is_heavy").join(labels, F.col("id") == F.col("l")).drop("l"), "tree-labels")
 
 
-def paths(trees: DataFrame) -> DataFrame:
-    """``id``, ``parent`` (in the forest), ``root``, ``rooted``, ``depth``, ``path``, ``chain``, ``chain_pos``, ``n_descendants``, ``sub_lo``, ``sub_hi``."""
+def paths(trees: DataFrame, with_path: bool = True) -> DataFrame:
+    """``id``, ``parent`` (in the forest), ``root``, ``rooted``, ``depth``, ``chain``, ``chain_pos``, ``n_descendants``, ``sub_lo``, ``sub_hi``
+    and, on request, ``path``.
+
+    All of it comes from the chains: what lies above the head of a chain is added up over the chains above.
+    """
     rows = chains(trees)
-    segment = staged(rows.groupBy(F.col("head").alias("h")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("segment")), "tree-segments")
     at = rows.select(F.col("id").alias("pi"), F.col("head").alias("ph"), F.col("place").alias("pp"))
-    heads = rows.filter("id = head").select("head", "up", "off").join(at, F.col("up") == F.col("pi"), "left").join(segment, F.col("ph") == F.col("h"), "left")
-    state, seen = staged_with(heads.select(
-        "head", F.col("ph").alias("jump"),
-        F.when(F.col("ph").isNull(), F.array().cast(segment.schema["segment"].dataType)).otherwise(F.slice("segment", F.lit(1), F.col("pp").cast("int") + 1)).alias("prefix"),
-        F.when(F.col("ph").isNull(), 0).otherwise(F.col("pp") + 1 + F.col("off")).cast("bigint").alias("number"),
-    ), "tree-prefixes", left=F.count("jump"))
-    while seen["left"]:
-        target = state.select(F.col("head").alias("t"), F.col("jump").alias("t_jump"), F.col("prefix").alias("t_prefix"), F.col("number").alias("t_number"))
-        state, seen = staged_with(state.join(target, state["jump"] == target["t"], "left").select(
-            "head", F.col("t_jump").alias("jump"), F.when(F.col("t").isNull(), F.col("prefix")).otherwise(F.concat("t_prefix", "prefix")).alias("prefix"),
-            (F.col("number") + F.coalesce("t_number", F.lit(0))).alias("number"),
-        ), "tree-prefixes", left=F.count("jump"))
-    whole = state.join(segment, F.col("head") == F.col("h")).select(F.col("head").alias("c"), "prefix", "segment", "number")
+    heads = rows.filter("id = head and up is not null").select("head", "up", "off").join(at, F.col("up") == F.col("pi"))
+    above, number = (F.col("pp") + 1).alias("above"), (F.col("pp") + 1 + F.col("off")).alias("number")
+    tops = rows.filter("up is null").select("head", F.lit(None).cast(rows.schema["head"].dataType).alias("jump"), F.lit(0).cast("bigint").alias("above"), F.lit(0).cast("bigint").alias("number"))
+    add = {"above": lambda a, b: a + b, "number": lambda a, b: a + b}
+    if with_path:
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"])
+        segment = staged(rows.groupBy(F.col("head").alias("h")).agg(listed.alias("segment")), "tree-segments")
+        heads = heads.join(segment, F.col("ph") == F.col("h")).select("head", F.col("ph").alias("jump"), above, number, F.slice("segment", F.lit(1), F.col("pp").cast("int") + 1).alias("prefix"))
+        tops = tops.withColumn("prefix", F.array().cast(segment.schema["segment"].dataType))
+        add["prefix"] = lambda a, b: F.concat(b, a)
+    else:
+        heads = heads.select("head", F.col("ph").alias("jump"), above, number)
+    whole = _resolved(heads.unionByName(tops), "head", "tree-prefixes", **add).withColumnRenamed("head", "c")
     lo = F.col("number") + F.col("place")
-    return rows.join(whole, F.col("head") == F.col("c")).select(
-        "id", F.col("up").alias("parent"), F.col("top").alias("root"), "rooted", F.col("depth").cast("int").alias("depth"),
-        F.concat("prefix", F.slice("segment", F.lit(1), F.col("place").cast("int") + 1)).alias("path"),
+    found = rows.join(whole, F.col("head") == F.col("c"))
+    columns = [
+        "id", F.col("up").alias("parent"), F.col("top").alias("root"), "rooted", (F.col("above") + F.col("place") + 1).cast("int").alias("depth"),
         F.col("head").alias("chain"), F.col("place").cast("int").alias("chain_pos"), (F.col("size") - 1).alias("n_descendants"),
         lo.alias("sub_lo"), (lo + F.col("size") - 1).alias("sub_hi"),
-    )
+    ]
+    if with_path:
+        found = found.join(segment, F.col("head") == F.col("h"))
+        columns.append(F.concat("prefix", F.slice("segment", F.lit(1), F.col("place").cast("int") + 1)).alias("path"))
+    return found.select(*columns)
+
+
+def descendants(found: DataFrame) -> DataFrame:
+    """``id``, ``descendant``: all pairs, from the intervals of ``paths``.
+
+    The numbers of an interval are listed in spans of ``SPAN`` and looked up by (root, number), so no node's
+    descendants are gathered, and no two nodes are compared.
+    """
+    spans = found.filter("sub_hi > sub_lo").select("id", "root", "sub_hi", F.explode(F.sequence(F.col("sub_lo") + 1, F.col("sub_hi"), F.lit(SPAN).cast("bigint"))).alias("low"))
+    numbers = spans.select("id", "root", F.explode(F.sequence("low", F.least(F.col("low") + (SPAN - 1), "sub_hi"))).alias("number"))
+    at = found.select("root", F.col("sub_lo").alias("number"), F.col("id").alias("descendant"))
+    return numbers.join(at, ["root", "number"]).select("id", "descendant")
 
 
 def faults(nodes: DataFrame, links: DataFrame, trees: DataFrame | None = None, local_links: int = LOCAL_LINKS) -> DataFrame:
     """``id``, ``kind``: the first fault of a node that applies - ``cycle``, ``rootless``, ``level``.
 
-    ``nodes``: ``id``, ``parent``, ``level``; ``links``: distinct (u, v) of all sources.
+    ``nodes``: ``id``, ``parent``, ``level``; ``links``: distinct (u, v) of all sources.  Cycles are those of the
+    separation; the depth is that of the chains.
     """
     trees = trees if trees is not None else forest(nodes, links)
     every = links.union(nodes.filter("parent is not null").select(F.col("parent").alias("u"), F.col("id").alias("v"))).distinct()
     core = trees.filter("core").select("id")
     near = every.join(core.toDF("a"), F.col("u") == F.col("a"), "left_semi").join(core.toDF("b"), F.col("v") == F.col("b"), "left_semi")
     cyclic = on_cycles(near, local_links).select(F.col("id").alias("y"))
-    rows = trees.join(nodes.select(F.col("id").alias("n"), "level"), F.col("id") == F.col("n")).join(cyclic, F.col("id") == F.col("y"), "left")
-    kind = F.when(F.col("y").isNotNull(), "cycle").when(~F.col("rooted"), "rootless").when(~F.col("level").eqNullSafe(F.col("depth").cast("int")), "level")
+    found = paths(trees, with_path=False)
+    rows = found.join(nodes.select(F.col("id").alias("n"), "level"), F.col("id") == F.col("n")).join(cyclic, F.col("id") == F.col("y"), "left")
+    kind = F.when(F.col("y").isNotNull(), "cycle").when(~F.col("rooted"), "rootless").when(~F.col("level").eqNullSafe(F.col("depth")), "level")
     return rows.select("id", kind.alias("kind")).filter("kind is not null")
 
 

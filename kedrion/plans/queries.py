@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kedrion.operators import orphan_refs, tree_paths
 from kedrion.plans import reference_queries
-from kedrion.session import load_table
+from kedrion.session import load_table, staged
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,10 +52,15 @@ def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_hierarchy(spark, sf_dir).select("id", "rooted", "root", "depth", "path", "n_descendants")
 
 
+def p2_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heavy chain of every section and its place in it."""
+    return tree_paths.paths(tree_paths.forest(*_links(spark, sf_dir)), with_path=False).select("id", "chain", "chain_pos")
+
+
 def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every section with each of its descendants, from the paths."""
-    found = p2_hierarchy(spark, sf_dir)
-    return found.select(F.explode("path").alias("id"), F.col("id").alias("descendant")).filter("id <> descendant")
+    """Every section with each of its descendants, from the intervals of the chains' numbers."""
+    found = tree_paths.paths(tree_paths.forest(*_links(spark, sf_dir)), with_path=False)
+    return tree_paths.descendants(staged(found.select("id", "root", "sub_lo", "sub_hi"), "intervals"))
 
 
 _S = "with recursive s as (select id, arg_min(struct_pack(p := parent_id, l := level, c := children_ids), seq) r from sections where id is not null group by id)"
@@ -86,6 +91,12 @@ tree as (select id, rooted, case when m is null then path else path[len(path) -
 _P2P = f"""{_FOREST} select id, rooted, path[1] root, len(path) depth, path,
   (select count(*) - 1 from tree d where list_contains(d.path, tree.id)) n_descendants from tree"""
 _P2D = f"{_FOREST} select path[i] id, id descendant from tree, range(1, 1000) g(i) where i < len(path)"
+#: the heavy child has the largest subtree, of equals the greatest id; a chain begins at the last node of a path that is none
+_P2C = f"""{_FOREST}, sized as (select x.id, (select count(*) from tree d where list_contains(d.path, x.id)) n, x.path[-2] up, x.path from tree x),
+heavy as (select up, max(struct_pack(n := n, id := id)).id h from sized where up is not null group by up),
+lights as (select id, max(i) i from (select id, path, unnest(range(1, len(path) + 1)) i from sized)
+  where i = 1 or not exists (select 1 from heavy where heavy.up = path[i - 1] and heavy.h = path[i]) group by id)
+select id, path[i] chain, (len(path) - i)::int chain_pos from sized join lights using (id)"""
 
 _P1 = """
 with parent as (
@@ -103,7 +114,7 @@ where k is not null and (id is null or since is null or since > loaded_at)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_hierarchy, p2_paths, p2_descendants)}
+    own = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_hierarchy, p2_paths, p2_chains, p2_descendants)}
     return {**own, **reference_queries.queries()}
 
 
@@ -113,6 +124,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _P1,
         "p2_found": _P2,
         "p2_paths": _P2P,
+        "p2_chains": _P2C,
         "p2_descendants": _P2D,
         "p1_summary": f"select ref_table, ref_field, period, reason, count(*) n_refs from ({_P1}) group by all",
     }

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import pytest
 
@@ -56,7 +57,7 @@ def tree_case(seed, n, links_n, chain=False):
 def test_paths_and_faults_against_brute_force(spark, seed, n, links, chain, local):
     ids, parent, more = tree_case(seed, n, links, chain)
     truth = brute_forest(parent)
-    level = {v: len(truth[v][1]) + (hash(v) % 7 == 0) for v in ids}
+    level = {v: len(truth[v][1]) + (zlib.crc32(v.encode()) % 7 == 0) for v in ids}
     nodes = spark.createDataFrame([(v, parent[v], level[v], 1, "x") for v in ids], NODES)
     frame = spark.createDataFrame(sorted(more), "u string, v string")
     trees = tp.forest(nodes, frame)
@@ -101,3 +102,26 @@ def test_empty_and_null(spark):
     assert {(r.id, r.parent, r.level) for r in nodes.collect()} == {("a", None, 1), ("b", "a", None)}
     assert {(r.u, r.v) for r in links.collect()} == {("a", "b")}
     assert {(r.id, r.kind) for r in tp.faults(nodes, links).collect()} == {("b", "level")}
+
+
+def test_many_roots_lie_in_no_common_group(spark):
+    """Nodes without a parent take no part in the numbering of siblings."""
+    nodes = spark.range(20_000).selectExpr("cast(id as string) id", "case when id % 100 = 1 then cast(id - 1 as string) end parent", "1 level", "0 size", "'' top")
+    trees = tp.forest(nodes, spark.createDataFrame([], "u string, v string"))
+    numbered = []
+    keep = tp.staged
+
+    def staged(df, label="stage"):
+        if label == "tree-offsets":
+            numbered.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df, label)
+
+    tp.staged = staged
+    try:
+        found = tp.paths(trees, with_path=False)
+    finally:
+        tp.staged = keep
+    windows = [part for part in numbered[0].split("Union")[1:] if "Window" in part]
+    assert windows and all("isnotnull(up" in part for part in windows)
+    assert found.filter("depth = 1 and n_descendants = 0").count() == 19_600 and found.filter("depth = 2").count() == 200
+    assert {(r.id, r.descendant) for r in tp.descendants(found).collect()} == {(str(i - 1), str(i)) for i in range(1, 20_000, 100)}
