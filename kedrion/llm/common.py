@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kedrion.session import staged
+from kedrion.session import staged, staged_with
 
-#: Ids with several rows are broadcast up to so many (id and order column only).
-FEW_REPEATED = 1_000_000
+#: A table is broadcast while its keys take up to so many bytes.
+FEW_BYTES = 16 << 20
+
+
+def kept_small(df: DataFrame, key: str, label: str) -> DataFrame:
+    """``df`` written to the shared folder, to be broadcast if its keys are few: their bytes are added up while it is written."""
+    table, seen = staged_with(df, label, size=F.coalesce(F.sum(F.octet_length(F.col(key).cast("string")) + 24), F.lit(0)))
+    return F.broadcast(table) if (seen["size"] or 0) <= FEW_BYTES else table
 
 
 def first_rows(df: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
@@ -23,9 +29,7 @@ def first_rows(df: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
         df.groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__first"), F.count("*").alias("__n"))
         .filter("__n > 1").drop("__n")
     )
-    repeated = staged(repeated, "repeated-ids")
-    if repeated.count() <= FEW_REPEATED:
-        repeated = F.broadcast(repeated)
+    repeated = kept_small(repeated, "__key", "repeated-ids")
     return df.join(repeated, (F.col(key) == F.col("__key")) & (F.col(order) > F.col("__first")), "left_anti")
 
 

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kedrion.llm.common import FEW_REPEATED, first_rows
+from kedrion.llm.common import first_rows, kept_small
 from kedrion.session import staged
 
 K, DIM, TREES = 10, 64, 3
@@ -167,13 +167,11 @@ def classes(every: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Vectors are told apart by their hashes; only those whose hash occurs again are grouped by their bytes.
     """
-    again = staged(every.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "knn-again")
-    again = F.broadcast(again) if again.count() <= FEW_REPEATED else again
+    again = kept_small(every.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "hash", "knn-again")
     some = every.join(again, "hash", "left_semi")
     groups = some.groupBy("unit").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
     copies = staged(some.join(groups, "unit").select("rep", "id"), "knn-copies")
-    others = copies.filter("id <> rep").select(F.col("id").alias("__copy"))
-    others = F.broadcast(others) if copies.count() <= FEW_REPEATED else others
+    others = kept_small(copies.filter("id <> rep").select(F.col("id").alias("__copy")), "__copy", "knn-others")
     return every.join(others, F.col("id") == F.col("__copy"), "left_anti"), copies
 
 

@@ -5,25 +5,26 @@ Per document, in one Arrow pass over the text:
 1. *prose* - markup, quoting, short lines of headings, list items, tables and code are set aside;
    words broken at line ends are joined;
 2. *sentences* - ended by ``. ! ? ...`` before a capital, quote or the end, but not after an
-   abbreviation or inside numbers; the middle of the sentence lengths (trimmed mean) is used, so that
-   a heading glued to the text does not count as a long sentence;
-3. *syllables* - hyphenation-style rules: every vowel is a nucleus in Russian; in English a run of
-   vowels is one, silent endings are none and a final consonant + ``le`` is one.  Names, codes
-   and numbers are not counted;
+   abbreviation or inside numbers; their length is the plain mean of words a sentence;
+3. *syllables* - hyphenation-style rules.  A word is parted between two vowels that are no pair, and
+   before the last consonant of those between two vowels, so it has as many syllables as nuclei: in Russian every
+   vowel is one; in English a vowel, or a pair that is written for one, is - silent endings are none, a final
+   consonant + ``le`` is one, and ``y`` before a vowel is a consonant.  Names, codes and numbers are not counted;
 4. *formulas* - Flesch-Kincaid, Gunning fog, SMOG, automated readability and Coleman-Liau.  Their
-   constants are adapted to each language (the script of the text, not the ``lang`` column) by least
+   published constants are adapted to each language (the script of the text, not the ``lang`` column) by least
    squares on at most ``max_labels`` labelled documents, as the published Russian adaptations were
-   made; with fewer than ``LEAST_LABELS`` labels in a language the published constants stand;
+   made; the fit is drawn towards the published constants as by ``PRIOR`` labels, so few labels move them little;
 5. *grades* - each formula's score becomes an estimate on the label scale through a monotone curve
    (isotonic regression) on the same labels; the grade is the rounded median of the estimates.
+   ``published`` is the grade in the same way with the published constants as they are.
 
 Only the fit sees a bounded sample; every document is scored from its whole text.  Labels are
-averaged per document over its distinct raters before fitting.
+averaged per document over its distinct raters before fitting; those of the other script count ``OTHER`` of one
+in a curve, so a language without labels has the curve of all.
 
 Defined results: a null, empty or word-less text has a null grade; a text without sentence ends is
-one sentence; languages with too few labels use the curve of all labels; without any label the formulas'
-school grades are scaled linearly (grade 12 and above = 5).  Repeated document rows give repeated
-results; other columns are ignored.
+one sentence; without any label the formulas' school grades are scaled linearly (grade 12 and above = 5).
+Repeated document rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 FORMULAS = ("kincaid", "fog", "smog", "ari", "coleman")
 MAX_LABELS = 50_000
-LEAST_LABELS = 40
+PRIOR, OTHER = 5.0, 1e-3
 
 # Abbreviations that do not end a sentence.
 _ABBREVIATIONS = frozenset(
@@ -51,14 +52,16 @@ _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _HIDDEN = re.compile("[\xad\u200b-\u200f\u2060\ufeff\u0300-\u0305\u0307\u0309-\u036f]")
 _BROKEN = re.compile(r"([^\W\d_])[-‐‑]\n[> \t]*(?=[^\W\d_])")
 _QUOTE = re.compile(r"(?m)^[ \t]*(?:>[ \t]?)+")
-_ASIDE = re.compile(r"(?m)^(?:[ \t]*(?:#+ |={2,}|[-*•+] |\d+[.)] |\||```|~~~|\{|\})|    ).{0,120}$")
+_ASIDE = re.compile(r"(?m)^(?:[ \t]*(?:#+ |={2,}|[-*•+] |\d+[.)] |\||```|~~~|\{|\})|    ).*$")
 _EMPHASIS = re.compile(r"[*~`]+")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 _ENDED = re.compile(r"[.!?…][)»\"”'\]]*$")
 _TRIM = re.compile(r"^[^\w]+|[^\w]+$")
 _WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*$")
 _RU_VOWEL = re.compile("[аеёиоуыэюя]")
-_EN_NUCLEUS = re.compile("[aeiouy]+")
+# Pairs of vowels written for one nucleus; i before a vowel is part of the consonant after c, g, s, t, x.
+# A pair is parted in cre-ate, ide-a, sci-ence, muse-um, be-ing and their like.
+_EN_NUCLEUS = re.compile(r"(?<=r)e(?=a[ct])|e(?=a$|um|ing)|i(?=e[nt])|eo(?=p)|(?<=[cgstx])i[aou]u?|ueue|eau|a[iuwy]|e[aeiuwy]|i[e]|o[aeiouwy]|u[ei]|[aeiou]|(?<!^)y(?![aeiou])|^y(?=[^aeiou])")
 _EN_SILENT = re.compile(r"(?:[^aeiouy]e|[^aeiouydt]ed|[^aeiouysxz]es)$")
 _EN_LE = re.compile(r"[^aeiouy]les?$")
 _CYRILLIC = re.compile("[а-яё]")
@@ -86,7 +89,7 @@ class _Tokens(dict):
         if len(self) >= _CACHE:
             self.clear()
         core = _TRIM.sub("", token)
-        word = bool(_WORD.match(core)) and len(core) <= 60
+        word = bool(_WORD.match(core))
         small = core.lower()
         counted = word and core[0] == small[0]
         ends = bool(_ENDED.search(token)) and not ("." in token and small in _ABBREVIATIONS)
@@ -139,12 +142,9 @@ def _measures(body: str, cache: _Tokens) -> tuple | None:
     long_word = 4 if cyrillic else 3
     used = [t for t in words if t[1]] or words
     n = len(used)
-    lengths.sort()
-    cut = len(lengths) // 4
-    middle = lengths[cut : len(lengths) - cut]
     return (
         cyrillic,
-        sum(middle) / len(middle),
+        sum(lengths) / len(lengths),
         sum([t[2] for t in used]) / n,
         sum([t[3] for t in used]) / n,
         sum([t[2] >= long_word for t in used]) / n,
@@ -165,13 +165,12 @@ PUBLISHED = {
 }
 
 
-def isotonic(x: np.ndarray, y: np.ndarray, knots: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, knots: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing curve of least squares through (x, y)."""
     order = np.argsort(x, kind="stable")
-    x, y = x[order], y[order]
     level: list[list[float]] = []  # mean, weight, first x, last x
-    for a, b in zip(x, y):
-        level.append([b, 1.0, a, a])
+    for a, b, w in zip(x[order], y[order], weight[order]):
+        level.append([b, w, a, a])
         while len(level) > 1 and level[-2][0] >= level[-1][0]:
             b2, w2, _, hi = level.pop()
             b1, w1, lo, _ = level.pop()
@@ -184,21 +183,32 @@ def isotonic(x: np.ndarray, y: np.ndarray, knots: int = 64) -> tuple[np.ndarray,
     return xs, ys
 
 
+def adapted(x: np.ndarray, y: np.ndarray, published: np.ndarray) -> np.ndarray:
+    """Constants of least squares on (x, y), drawn towards the published ones on the label scale."""
+    start = published / 3  # school grades 0 to 12 on 1 to 5
+    start[-1] += 1
+    if not len(y):
+        return start
+    pull = PRIOR * np.diag(np.mean(x * x, axis=0) + 1e-9)
+    return start + np.linalg.solve(x.T @ x + pull, x.T @ (y - x @ start))
+
+
 class Curves:
-    """Measures -> estimates on the label scale, for each script and formula."""
+    """Measures -> estimates on the label scale, for each script and formula; ``fit``: with adapted constants, else the published ones."""
 
-    def __init__(self, cyrillic: np.ndarray, m: np.ndarray, labels: np.ndarray):
+    def __init__(self, cyrillic: np.ndarray, m: np.ndarray, labels: np.ndarray, fit: bool = True):
         self.constants: dict[tuple[bool, int], np.ndarray] = {}
         self.knots: dict[tuple[bool, int], tuple[np.ndarray, np.ndarray]] = {}
         for script in (True, False):
             own = cyrillic == script
-            enough = own.sum() >= LEAST_LABELS
-            if not enough:
-                own = np.ones(len(labels), bool)
+            weight = np.where(own, 1.0, OTHER)
             for f, x in enumerate(predictors(m)):
-                c = np.linalg.lstsq(x[own], labels[own], rcond=None)[0] if enough else np.array(PUBLISHED[script][f])
+                c = np.array(PUBLISHED[script][f])
+                if fit:
+                    c = adapted(x[own], labels[own], c)
                 self.constants[script, f] = c
-                self.knots[script, f] = isotonic(x[own] @ c, labels[own]) if len(labels) else (np.array([0.0, 12.0]), np.array([1.0, 5.0]))
+                plain = (np.array([1.0, 5.0]),) * 2 if fit else (np.array([0.0, 12.0]), np.array([1.0, 5.0]))
+                self.knots[script, f] = isotonic(x @ c, labels, weight) if len(labels) else plain
 
     def estimates(self, cyrillic: np.ndarray, m: np.ndarray) -> np.ndarray:
         """The median of the formulas' estimates for each row."""
@@ -225,40 +235,50 @@ def _measured(df: DataFrame) -> DataFrame:
     return df.mapInPandas(run, f"doc_id {kind}, cyrillic boolean, " + ", ".join(f"{c} double" for c in _MEASURES))
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, doc_id: str = "doc_id", text: str = "text", rater: str = "rater", grade: str = "grade") -> Curves:
-    """Curves from at most ``max_labels`` labelled documents (those of the smallest hashes)."""
+def fit(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, doc_id: str = "doc_id", text: str = "text", rater: str = "rater", grade: str = "grade") -> tuple[Curves, Curves]:
+    """Curves (with adapted, with published constants) from at most ``max_labels`` labelled documents: those of the smallest hashes."""
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    keys = labels.filter(F.col(doc_id).isNotNull() & F.col(grade).isNotNull()).agg(F.count("*")).first()[0]  # rows: at least the documents
+    few = hashed < int(min(1.0, 2.0 * max_labels / max(1, keys)) * (1 << 40))  # so that one task need not order all of them
     rated = (
         labels.select(F.col(doc_id).alias("doc_id"), F.col(rater).alias("rater"), F.col(grade).cast("double").alias("grade"))
         .filter("doc_id is not null and grade is not null")
+        .filter(few)
         .groupBy("doc_id", "rater").agg(F.avg("grade").alias("grade"))
         .groupBy("doc_id").agg(F.avg("grade").alias("grade"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
+        .orderBy(hashed, "doc_id").limit(max_labels)
     )
     # at most ``max_labels`` keys: the documents' texts stay where they are
     texts = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(rated.select("doc_id")), "doc_id", "left_semi")
     found = _measured(texts).dropDuplicates(["doc_id"]).join(rated, "doc_id").toPandas().sort_values("doc_id")
-    return Curves(found["cyrillic"].to_numpy(bool), found[list(_MEASURES)].to_numpy(float), found["grade"].to_numpy(float))
+    seen = found["cyrillic"].to_numpy(bool), found[list(_MEASURES)].to_numpy(float), found["grade"].to_numpy(float)
+    return Curves(*seen), Curves(*seen, fit=False)
+
+
+def _grade(estimate: float) -> int | None:
+    return None if math.isnan(estimate) else int(min(5, max(1, math.floor(estimate + 0.5))))
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """One row for each document row: ``doc_id``, ``grade`` (1 to 5, or null), ``estimate`` and the carried columns."""
-    carry = [c for c in (carry or []) if c not in ("doc_id", "grade", "estimate")]
+    """One row for each document row: ``doc_id``, ``grade`` and ``published`` (1 to 5, or null), ``estimate`` and the carried columns."""
+    carry = [c for c in (carry or []) if c not in ("doc_id", "grade", "estimate", "published")]
     curves = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, max_labels, doc_id, text))
     fields = {f.name: f.dataType.simpleString() for f in documents.schema}
-    schema = ", ".join([f"doc_id {fields[doc_id]}", *(f"`{c}` {fields[c]}" for c in carry), "grade int, estimate double"])
+    schema = ", ".join([f"doc_id {fields[doc_id]}", *(f"`{c}` {fields[c]}" for c in carry), "grade int, estimate double, published int"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, model = _Tokens(), curves.value
         for batch in batches:
             rows = [measures(t, cache) for t in batch["__text"]]
             known = np.array([m is not None for m in rows], bool)
-            estimate = np.full(len(rows), np.nan)
+            estimate, plain = np.full(len(rows), np.nan), np.full(len(rows), np.nan)
             if known.any():
                 m = np.array([r for r in rows if r], dtype=float)
-                estimate[known] = model.estimates(m[:, 0] > 0.5, m[:, 1:])
+                estimate[known], plain[known] = (c.estimates(m[:, 0] > 0.5, m[:, 1:]) for c in model)
             out = batch.drop(columns="__text")
-            out["grade"] = pd.array([None if math.isnan(e) else int(min(5, max(1, math.floor(e + 0.5)))) for e in estimate], dtype="Int32")
+            out["grade"] = pd.array([_grade(e) for e in estimate], dtype="Int32")
             out["estimate"] = pd.array([None if math.isnan(e) else e for e in estimate], dtype="Float64")
+            out["published"] = pd.array([_grade(e) for e in plain], dtype="Int32")
             yield out
 
     return documents.select(F.col(doc_id).alias("doc_id"), *[F.col(f"`{c}`") for c in carry], F.col(text).alias("__text")).mapInPandas(run, schema)

@@ -9,7 +9,7 @@ EASY = "Кот спит. Дом стар. Лес тих. Он идёт. "
 HARD = "Последовательная сегментация инициирует масштабирование автоматизации, благодаря чему многокритериальная периодичность инициализации перераспределяет детерминированное распределение централизованной последовательности. "
 
 
-@pytest.mark.parametrize("word,n", [("кот", 1), ("молоко", 3), ("сообщение", 5), ("cat", 1), ("table", 2), ("make", 1), ("makes", 1), ("boxes", 2), ("waited", 2), ("opened", 2), ("authentication", 5), ("б", 1)])
+@pytest.mark.parametrize("word,n", [("кот", 1), ("молоко", 3), ("сообщение", 5), ("cat", 1), ("table", 2), ("make", 1), ("makes", 1), ("boxes", 2), ("waited", 2), ("opened", 2), ("authentication", 5), ("б", 1), ("create", 2), ("idea", 3), ("video", 3), ("nation", 2), ("beyond", 2), ("science", 2), ("various", 3), ("people", 2), ("my", 1)])
 def test_syllables(word, n):
     assert rl.syllables(word) == n
 
@@ -34,11 +34,22 @@ def test_sentences_survive_abbreviations_headings_and_wrapping():
 def test_isotonic_is_monotone_and_fits():
     rng = np.random.default_rng(0)
     x = rng.uniform(0, 10, 500)
-    xs, ys = rl.isotonic(x, np.floor(x / 2) + 1)
+    xs, ys = rl.isotonic(x, np.floor(x / 2) + 1, np.ones(500))
     assert (np.diff(ys) >= 0).all() and len(xs) <= 64
     assert abs(np.interp(9.0, xs, ys) - 5) < 0.2 and abs(np.interp(1.0, xs, ys) - 1) < 0.2
 
 
+def test_few_labels_move_the_constants_little():
+    rng = np.random.default_rng(1)
+    x = np.column_stack([rng.uniform(5, 25, 2000), rng.uniform(1, 3, 2000), np.ones(2000)])
+    published = np.array([0.39, 11.8, -15.59])
+    y = x @ np.array([0.05, 0.9, 0.1])
+    start = rl.adapted(x[:0], y[:0], published)
+    assert np.allclose(start, [0.13, 11.8 / 3, -15.59 / 3 + 1])
+    far = [np.linalg.norm(rl.adapted(x[:n], y[:n], published) - start) for n in (1, 10, 2000)]
+    assert far[0] < far[1] < far[2] and np.allclose(x @ rl.adapted(x, y, published), y, atol=0.3)
+
+
 def test_operator_with_dirt(spark):
     docs = [(i, EASY * (1 + i % 4), "x", "ru", 1) for i in range(60)] + [(100 + i, HARD * (1 + i % 3), None, None, 2) for i in range(60)]
     labels = [(i, "r1", 1, None) for i in range(50)] + [(100 + i, "r1", 5, "t") for i in range(50)] + [(0, "r1", 1, None), (0, "r2", None, None), (None, "r1", 3, None), (9999, "r1", 4, None)]
