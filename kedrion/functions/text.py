@@ -36,11 +36,14 @@ def first_line(text: Column) -> Column:
 
 def level_of(attributes: Column) -> Column:
     """``level`` of a JSON object as an integer: numbers are truncated, numeric strings read, all else is null."""
-    value = F.try_variant_get(F.try_parse_json(attributes), "$.level", "string")
-    kind = F.schema_of_variant(F.variant_get(F.try_parse_json(attributes), "$.level", "variant"))
-    number = F.try_variant_get(F.try_parse_json(attributes), "$.level", "int")
-    text = F.when(stripped(value).rlike(r"^[+-]?[0-9]+$"), stripped(value).try_cast("int"))
-    return F.when(kind == "STRING", text).otherwise(number)
+    item = F.try_variant_get(F.try_parse_json(attributes), "$.level", "variant")
+    return F.transform(F.array(item), _level)[0]  # the text is parsed once
+
+
+def _level(item: Column) -> Column:
+    text = stripped(F.try_variant_get(item, "$", "string"))
+    digits = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("int"))
+    return F.when(F.schema_of_variant(item) == "STRING", digits).otherwise(F.try_variant_get(item, "$", "int"))
 
 
 def joined(items: Column, by: Column, text: str = "text") -> Column:

@@ -51,18 +51,29 @@ def _cosines(queries: list, vectors: list) -> np.ndarray:
 
 def _best(batches: Iterator[pd.DataFrame], queries, k: int) -> Iterator[pd.DataFrame]:
     ids, vectors = queries.value
-    held: pd.DataFrame | None = None
+    held: list[tuple] = []  # of each query: similarities, places and ids of its best so far
     for batch in batches:
         c = np.round(_cosines(vectors, list(batch["vector"])), 9)
         rows, seqs = batch["id"].to_numpy(), batch["seq"].to_numpy()
-        parts = []
-        for i, q in enumerate(ids):
-            top = np.lexsort((seqs, -c[i]))[:k]
-            parts.append(pd.DataFrame({"query_id": q, "id": rows[top], "seq": seqs[top], "sim": c[i, top]}))
-        found = pd.concat([*([held] if held is not None else []), *parts])
-        held = found.sort_values(["query_id", "sim", "seq"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
-    if held is not None:
-        yield held
+        m = min(k, len(rows))
+        if not m:
+            continue
+        bound = np.partition(c, len(rows) - m, axis=1)[:, len(rows) - m]
+        for i in range(len(ids)):
+            near = np.flatnonzero(c[i] >= bound[i])  # ties are settled by ``seq``
+            sim, seq, row = c[i, near], seqs[near], rows[near]
+            if i < len(held):
+                sim, seq, row = (np.concatenate(pair) for pair in zip(held[i], (sim, seq, row)))
+            top = np.lexsort((seq, -sim))[:k]
+            best = (sim[top], seq[top], row[top])
+            if i < len(held):
+                held[i] = best
+            else:
+                held.append(best)
+    if held:
+        sizes = [len(h[0]) for h in held]
+        sim, seq, row = (np.concatenate([h[c] for h in held]) for c in range(3))
+        yield pd.DataFrame({"query_id": np.repeat(np.array(ids, dtype=object), sizes), "id": row, "seq": seq, "sim": sim})
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:

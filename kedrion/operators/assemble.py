@@ -31,15 +31,13 @@ def section_candidates(ranked: DataFrame, sections: DataFrame, text_nodes: DataF
 
 
 def graph_context(reached: DataFrame, traversed: DataFrame) -> DataFrame:
-    """``query_id``, ``nodes``, ``edges`` (both ends reached), each in the order they were met."""
-    ids = reached.select("query_id", "id")
-    edges = traversed.join(ids.withColumnRenamed("id", "from_id"), ["query_id", "from_id"], "left_semi").join(ids.withColumnRenamed("id", "to_id"), ["query_id", "to_id"], "left_semi")
+    """``query_id``, ``nodes``, ``edges``, each in the order they were met.  Both ends of an edge that ``expand`` emits are reached."""
     drawn = F.transform(
         F.array_sort(F.collect_list(F.struct("ord", "from_id", "to_id", "relation_type"))),
         lambda x: F.struct(x["from_id"].alias("from"), x["to_id"].alias("to"), x["relation_type"].alias("type")),
     )
     nodes = reached.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("nodes"))
-    return nodes.join(edges.groupBy("query_id").agg(drawn.alias("edges")), "query_id", "left").withColumn(
+    return nodes.join(traversed.groupBy("query_id").agg(drawn.alias("edges")), "query_id", "left").withColumn(
         "edges", F.coalesce("edges", F.array().cast("array<struct<from:string,to:string,type:string>>"))
     )
 

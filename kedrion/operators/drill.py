@@ -26,6 +26,12 @@ def root_ranking(queries: DataFrame, sections: DataFrame, top_r: int) -> DataFra
     return nearest(queries, roots, top_r).select("query_id", F.col("id").alias("section_id"), "sim", "rank")
 
 
+def known(sections: DataFrame) -> DataFrame:
+    """What the descent needs of sections: ``id``, ``seq``, ``level``, ``e_local``, ``e_subtree``, ``blank``."""
+    blank = F.col("blank") if "blank" in sections.columns else is_blank(F.col("local_text"))
+    return sections.select("id", "seq", "level", "e_local", "e_subtree", blank.alias("blank"))
+
+
 def child_scores(frontier: DataFrame, queries: DataFrame, sections: DataFrame, children: DataFrame) -> DataFrame:
     """``query_id``, ``section_id``, ``child_id``, ``child_ord``, ``sim``: every child of the frontier's sections, once for each link."""
     target = sections.select(F.col("id").alias("child_id"), F.col("e_subtree").alias("__v"))
@@ -35,12 +41,12 @@ def child_scores(frontier: DataFrame, queries: DataFrame, sections: DataFrame, c
 
 
 def decide(frontier: DataFrame, queries: DataFrame, sections: DataFrame, children: DataFrame, cfg: DrillConfig) -> tuple[DataFrame, DataFrame]:
-    """(decision of every frontier section, children ranked within their section)."""
+    """(decision of every frontier section, children ranked within their section); children are scored once."""
     scores = child_scores(frontier, queries, sections, children)
     order = Window.partitionBy("query_id", "section_id").orderBy(F.desc("sim"), "child_ord")
-    ranked = scores.withColumn("child_rank", F.row_number().over(order))
-    best = scores.groupBy("query_id", "section_id").agg(F.max("sim").alias("best"))
-    own = sections.select(F.col("id").alias("section_id"), "e_local", is_blank(F.col("local_text")).alias("blank"))
+    ranked = staged(scores.withColumn("child_rank", F.row_number().over(order)), "drill")
+    best = ranked.filter("child_rank = 1").select("query_id", "section_id", F.col("sim").alias("best"))
+    own = known(sections).select(F.col("id").alias("section_id"), "e_local", "blank")
     rows = frontier.join(own, "section_id").join(queries.select("query_id", "q_emb"), "query_id").join(best, ["query_id", "section_id"], "left")
     rows = rows.withColumn("best", F.coalesce("best", F.lit(-1.0))).withColumn("local", F.round(cosine(F.col("q_emb"), F.col("e_local")), 9))
     seed = ~F.col("blank") & (F.col("local") >= F.col("best") - cfg.margin) & (F.col("local") >= cfg.tau_local)
@@ -55,6 +61,7 @@ def select_seeds(queries: DataFrame, sections: DataFrame, children: DataFrame, c
     seeds are too, and cycles of child links end.  ``rank`` follows (level, root, place among the
     children drilled into).
     """
+    sections, children = staged(known(sections), "drill-sections"), staged(children.select("parent_id", "child_id", "child_ord"), "drill-children")
     frontier = root_ranking(queries, sections, top_r).select("query_id", "section_id", F.array(F.col("rank").cast("int")).alias("way"))
     frontier = staged(frontier, "drill")
     visited, seeds, level = frontier.select("query_id", "section_id"), None, 0

@@ -19,7 +19,12 @@ from pyspark.sql import functions as F
 from kedrion.functions.text import is_blank, stripped
 
 
+#: The default sentence model.  Fixed value: a published multilingual model of 768 dimensions.
+DEFAULT_MODEL = "sentence-transformers/paraphrase-multilingual-mpnet-base-v2"
+
+
 class Encoder(Protocol):
+    name: str
     dim: int
 
     def encode(self, texts: list[str]) -> list[list[float]]: ...
@@ -29,7 +34,7 @@ class HashingEncoder:
     """Unit vectors of word counts: a word goes to the bucket of the first two hex digits of its md5."""
 
     def __init__(self, dim: int = 64):
-        self.dim = dim
+        self.dim, self.name = dim, f"hashing-{dim}"
 
     def encode(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dim))
@@ -44,8 +49,8 @@ class HashingEncoder:
 class SentenceEncoder:
     """A sentence-transformers model, loaded once in each worker (an optional dependency)."""
 
-    def __init__(self, model: str, device: str | None = None, dim: int = 768):
-        self.model, self.device, self.dim, self._loaded = model, device, dim, None
+    def __init__(self, model: str = DEFAULT_MODEL, device: str | None = None, dim: int = 768):
+        self.model, self.name, self.device, self.dim, self._loaded = model, model, device, dim, None
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "_loaded": None}
@@ -58,11 +63,18 @@ class SentenceEncoder:
         return list(self._loaded.encode([t if t.strip() else " " for t in texts], normalize_embeddings=True))
 
 
+def encoder_named(name: str, dim: int) -> Encoder:
+    """The encoder an index names: ``hashing-N``, or a sentence model."""
+    return HashingEncoder(dim) if name == f"hashing-{dim}" else SentenceEncoder(name, dim=dim)
+
+
 def encoded(texts: DataFrame, encoder: Encoder, text: str = "text") -> DataFrame:
     """Distinct texts with their vectors: ``text``, ``vector``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             vectors = encoder.encode(list(batch["text"])) if len(batch) else []
+            if any(len(v) != encoder.dim for v in vectors):
+                raise ValueError(f"the encoder gives vectors of other than {encoder.dim} dimensions")
             yield pd.DataFrame({"text": batch["text"], "vector": [np.asarray(v, np.float32) for v in vectors]})
 
     return texts.select(F.col(text).alias("text")).filter("text is not null").distinct().mapInPandas(run, "text string, vector array<float>")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kedrion.functions.text import is_page_number, level_of
+from kedrion.session import staged_with
 
 
 @dataclass(frozen=True)
@@ -25,11 +26,25 @@ class Ontology:
     edges: DataFrame
 
 
+#: Ids with several rows are broadcast up to so many (id and two numbers).
+FEW_REPEATED = 200_000
+
+
 def last_by_id(rows: DataFrame, *columns: str) -> DataFrame:
-    """``seq`` (first position) and ``columns`` (values of the last row) of every id."""
-    best = F.max_by(F.struct(*columns), "seq").alias("__v")
-    found = rows.filter("id is not null").groupBy("id").agg(F.min("seq").alias("seq"), best)
-    return found.select("seq", "id", *[F.col("__v")[c].alias(c) for c in columns])
+    """``seq`` (first position) and ``columns`` (values of the last row) of every id.
+
+    Only ids and positions are shuffled; rows of ids that occur once stay where they are, texts and vectors with them.
+    """
+    rows = rows.filter("id is not null").select("seq", "id", *columns)
+    places = rows.groupBy(F.col("id").alias("__id")).agg(F.min("seq").alias("__first"), F.max("seq").alias("__last"), F.count("*").alias("__n"))
+    again, seen = staged_with(places.filter("__n > 1").drop("__n"), "repeated-ids", rows=F.count("*"))
+    if not seen["rows"]:
+        return rows
+    again = F.broadcast(again) if seen["rows"] <= FEW_REPEATED else again
+    joined = rows.join(again, F.col("id") == F.col("__id"), "left")
+    once = joined.filter("__id is null").select("seq", "id", *columns)
+    last = joined.filter("seq = __last").dropDuplicates(["id"]).select(F.col("__first").alias("seq"), "id", *columns)
+    return once.unionByName(last)
 
 
 def section_scan(nodes: DataFrame) -> DataFrame:

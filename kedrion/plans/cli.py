@@ -8,10 +8,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import SparkSession
 
-from kedrion.operators.embed import Encoder, HashingEncoder, query_embeddings
+from kedrion.operators.embed import Encoder, encoder_named
 from kedrion.plans.pipeline import Engine
 from kedrion.session import build_session
-from kedrion.sources.index_store import load_index
+from kedrion.sources.index_store import load_index, saved_facts
 
 
 def asked(lines: Iterable[str]) -> Iterator[str]:
@@ -23,18 +23,24 @@ def asked(lines: Iterable[str]) -> Iterator[str]:
         yield line
 
 
-def answer(spark: SparkSession, engine: Engine, encoder: Encoder, query: str) -> str:
+def answer(spark: SparkSession, engine: Engine, query: str) -> str:
     """The result as JSON: the query and its section candidates."""
-    rows = query_embeddings(spark.createDataFrame([("q", query)], "query_id string, query string"), encoder)
+    rows = spark.createDataFrame([("q", query)], "query_id string, query string")
     found = json.loads(engine.run(rows).documents.select("query", "section_candidates").toJSON().first())
     return json.dumps(found, ensure_ascii=False, indent=2)
 
 
+def opened(spark: SparkSession, folder: str, encoder: Encoder | None = None) -> Engine:
+    """An engine over the index of ``folder`` with the encoder that built it (or ``encoder``, if it is the same)."""
+    encoder = encoder or encoder_named(*reversed(saved_facts(spark, folder)))
+    return Engine(load_index(spark, folder, encoder), max_graph_depth=5, max_graph_nodes=800, top_k_text=60, encoder=encoder)
+
+
 def main(folder: str, lines: Iterable[str] = sys.stdin, show: Callable[[str], None] = print) -> None:
-    spark, encoder = build_session(), HashingEncoder()
-    engine = Engine(load_index(spark, folder), max_graph_depth=5, max_graph_nodes=800, top_k_text=60)
+    spark = build_session()
+    engine = opened(spark, folder)
     for query in asked(lines):
-        show(answer(spark, engine, encoder, query))
+        show(answer(spark, engine, query))
 
 
 if __name__ == "__main__":

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kedrion.operators import assemble, hierarchy
 from kedrion.operators.drill import DrillConfig, select_seeds
-from kedrion.operators.embed import Encoder, section_embeddings, text_embeddings
+from kedrion.operators.embed import Encoder, query_embeddings, section_embeddings, text_embeddings
 from kedrion.operators.expand import ExpandConfig, expand
 from kedrion.operators.ingest import load_ontology
 from kedrion.operators.score import ScoreConfig, node_scores, top_nodes
@@ -49,10 +49,15 @@ class Engine:
     max_graph_nodes: int = 200
     top_k_text: int = 20
     top_r: int = 3
+    encoder: Encoder | None = None
 
     def run(self, queries: DataFrame) -> Answer:
-        """``queries``: query_id, query, q_emb (null: similar to nothing)."""
+        """``queries``: query_id, query, and q_emb (null: similar to nothing); without q_emb the engine's encoder makes it."""
         index = self.index
+        if "q_emb" not in queries.columns:
+            if self.encoder is None:
+                raise ValueError("queries without q_emb need an engine with an encoder")
+            queries = staged(query_embeddings(queries, self.encoder), "asked")
         seeds = staged(select_seeds(queries, index.sections, index.children, self.drill, self.top_r), "seeds")
         start = seeds.select("query_id", F.col("section_id").alias("id"), "rank")
         reached, traversed = expand(start, index.edges, ExpandConfig(self.max_graph_depth, self.max_graph_nodes))

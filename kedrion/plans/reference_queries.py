@@ -20,12 +20,14 @@ from kedrion.operators.expand import ALLOWED_RELATIONS, ExpandConfig, expand
 from kedrion.operators.expand import khop as khop_
 from kedrion.operators.score import ScoreConfig, node_scores, top_nodes
 from kedrion.plans.pipeline import Engine
-from kedrion.session import load_table, staged
-from kedrion.sources.index_store import Index
-from kedrion.sources.json_ontology import live
+from kedrion.session import load_table, shared_path, staged
+from kedrion.sources.index_store import Index, load_index, save_index
+from kedrion.sources.json_ontology import live, read_edges, read_nodes
 from kedrion.sources.tables import index_of
 
 NO_BUDGET = 1 << 30
+#: Thresholds under which the chained queries descend several levels and find many seeds.
+WIDE = DrillConfig(tau_local=0.15, tau_child=0.1, margin=0.1, top_k=2)
 
 
 def _nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,15 +97,58 @@ def caption_retype(spark, sf):
     return ingest.caption_retype(ingest.chunk_scan(_nodes(spark, sf)), _edges(spark, sf)).select("id", "node_type")
 
 
+def _digests(part: str, rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    detail = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    return rows.select(F.lit(part).alias("part"), F.col(key).cast("string").alias("id"), F.md5(detail.cast("binary")).alias("detail"))
+
+
 def load_ontology(spark, sf):
-    """Size of every part of the loaded ontology."""
+    """Every row of every part of the loaded ontology, as a digest of its contents."""
     found = ingest.load_ontology(_nodes(spark, sf), _edges(spark, sf))
-    parts = [(name, getattr(found, name)) for name in ("sections", "children", "text_nodes", "edges")]
-    out = None
-    for name, rows in parts:
-        count = rows.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("part"), "n_rows")
-        out = count if out is None else out.unionByName(count)
-    return out
+    sections = _digests("sections", found.sections, "id", "seq", "level", "parent_id")
+    children = _digests("children", found.children, "parent_id", "child_id", "child_ord")
+    texts = _digests("text_nodes", found.text_nodes, "id", "seq", "section_id", "node_type", "text")
+    edges = _digests("edges", found.edges, "seq", "from_id", "to_id", "relation_type")
+    return sections.unionByName(children).unionByName(texts).unionByName(edges)
+
+
+# --- files ---------------------------------------------------------------------------------------
+
+
+def _file_of_nodes(spark, sf):
+    """The nodes written to JSON Lines in their order, and read again."""
+    path = shared_path(spark, "nodes") + ".jsonl"
+    item = F.to_json(F.struct("id", "type", "text", F.try_parse_json("attributes").alias("attributes")))
+    _nodes(spark, sf).orderBy("seq").select(item.alias("value")).write.text(path)
+    return staged(read_nodes(spark, path), "file-nodes")
+
+
+def file_chunks(spark, sf):
+    return ingest.chunk_scan(_file_of_nodes(spark, sf)).select("id", "text")
+
+
+def file_sections(spark, sf):
+    return ingest.section_scan(_file_of_nodes(spark, sf)).select("id", "level")
+
+
+def file_edges(spark, sf):
+    """Edges written to a file and read again, with their place among those of their source."""
+    path = shared_path(spark, "edges") + ".jsonl"
+    item = F.to_json(F.struct(F.col("from_id").alias("source"), F.col("to_id").alias("target"), F.col("relation_type").alias("type")))
+    _edges(spark, sf).orderBy("seq").select(item.alias("value")).write.text(path)
+    return ingest.adjacency(staged(read_edges(spark, path), "file-edges")).drop("seq")
+
+
+def index_roundtrip(spark, sf):
+    """The index saved, loaded again and checked against its stated dimension."""
+    folder = shared_path(spark, "index")
+    save_index(_index(spark, sf), folder, "given")
+    found = load_index(spark, folder)
+    sections = found.sections.withColumn("dim", F.size("e_subtree")).withColumn("l", F.size("e_local"))
+    texts = found.text_nodes.withColumn("dim", F.size("embedding"))
+    rows = _digests("sections", sections, "id", "seq", "level", "parent_id", "local_text", "subtree_text", "l", "dim")
+    rows = rows.unionByName(_digests("text_nodes", texts, "id", "seq", "section_id", "node_type", "text", "dim"))
+    return rows.unionByName(_digests("children", found.children, "parent_id", "child_id", "child_ord")).unionByName(_digests("edges", found.edges, "seq", "from_id", "to_id", "relation_type"))
 
 
 # --- hierarchy -----------------------------------------------------------------------------------
@@ -265,6 +310,35 @@ def full_pipeline(spark, sf):
     return Engine(kept).run(_queries(spark, sf)).documents
 
 
+def _answer(spark, sf):
+    index = _index(spark, sf)
+    kept = Index(*[staged(getattr(index, t), t) for t in ("sections", "children", "text_nodes", "edges")])
+    return Engine(kept, drill=WIDE).run(_queries(spark, sf))
+
+
+def seed_ranks(spark, sf):
+    return _answer(spark, sf).seeds
+
+
+def pipeline_nodes(spark, sf):
+    """Ranked text nodes of the whole chain: seeds, expansion, scores."""
+    return _answer(spark, sf).ranked.select("query_id", "rank", "node_id", "section_id", "node_type", F.round("score", 6).alias("score"))
+
+
+def pipeline_documents(spark, sf):
+    """The result document of every query, flattened."""
+    docs = _answer(spark, sf).documents
+
+    def listed(items: str, field: str) -> F.Column:
+        return F.array_join(F.transform(items, lambda x: x[field]), "|")
+
+    return docs.select(
+        "query_id", "query", listed("section_candidates", "section_id").alias("sections"), F.md5(listed("section_candidates", "text").cast("binary")).alias("texts_md5"),
+        listed("section_candidates", "title").alias("titles"), listed("text_nodes", "node_id").alias("text_nodes"), F.array_join("graph_context.nodes", "|").alias("graph_nodes"),
+        F.array_join(F.transform("graph_context.edges", lambda e: F.concat(e["from"], F.lit(">"), e["to"], F.lit(":"), e["type"])), "|").alias("graph_edges"),
+    )
+
+
 # --- reports -------------------------------------------------------------------------------------
 
 
@@ -273,7 +347,9 @@ def level_histogram(spark, sf):
 
 
 def orphans(spark, sf):
-    return quality.orphan_sections(ingest.section_links(ingest.section_scan(_nodes(spark, sf)), _edges(spark, sf))[0])
+    """Over the links of the odd places only: the table itself has no orphans, so links are taken away."""
+    edges = _edges(spark, sf).filter("relation_type <> 'HAS_SUBSECTION' or seq % 2 = 1")
+    return quality.orphan_sections(ingest.section_links(ingest.section_scan(_nodes(spark, sf)), edges)[0])
 
 
 def caption_check(spark, sf):
@@ -303,9 +379,9 @@ def pair_cosine(spark, sf):
 
 _ALL = (
     node_kinds, section_scan, figure_scan, chunk_scan, page_number_filter, edge_scan, section_links, section_children, chunk_links,
-    caption_retype, load_ontology, local_text, subtree_text, roots, section_path, text_embedding, section_embedding, vector_topk,
+    caption_retype, load_ontology, file_chunks, file_sections, file_edges, index_roundtrip, local_text, subtree_text, roots, section_path, text_embedding, section_embedding, vector_topk,
     embeddings_topk, root_rank, child_score, drill_decisions, seeds, bfs_nodes, bfs_edges, bfs_budget, bfs_budget_edges, khop,
-    node_score, topk_nodes, section_text, section_candidates, graph_context, full_pipeline, level_histogram, orphans,
+    node_score, topk_nodes, section_text, section_candidates, graph_context, full_pipeline, seed_ranks, pipeline_nodes, pipeline_documents, level_histogram, orphans,
     caption_check, raw_levels, phantoms, embedding_coverage, pair_cosine,
 )
 
@@ -343,7 +419,7 @@ kid as (select from_id parent_id, to_id child_id, row_number() over (partition b
 own as (select to_id id, arg_max(from_id, seq) section_id from edges where relation_type = 'HAS_CHUNK' and from_id in (select id from sec) and to_id in (select id from ch) group by 1),
 loc as (select sec.id, coalesce(max(t), '') local_text from sec left join (select section_id, {_strip("string_agg(text, chr(10) order by seq)")} t from ch join own using (id) group by 1) x on x.section_id = sec.id group by sec.id)
 """
-_IX = f"""with recursive s as (select id, min(seq) seq, arg_max(struct_pack(l := "level", k := children_ids, lt := local_text, st := subtree_text, el := e_local, es := e_subtree), seq) r from sections where removed_at is null group by id),
+_IX = f"""with recursive s as (select id, min(seq) seq, arg_max(struct_pack(l := "level", p := parent_id, k := children_ids, lt := local_text, st := subtree_text, el := e_local, es := e_subtree), seq) r from sections where removed_at is null group by id),
 t as (select id, min(seq) seq, arg_max(struct_pack(s := section_id, k := node_type, x := text, e := embedding), seq) r from text_nodes where removed_at is null group by id),
 kids as (select p parent_id, c child_id, o::int child_ord from (select id p, unnest(r.k) c, generate_subscripts(r.k, 1) o from s) where c in (select id from s)),
 q as (select query_id, query, q_emb from queries)
@@ -361,12 +437,12 @@ _ROOTS = f"""{_IX}, rr as (select query_id, id section_id, sim, row_number() ove
 _BLANK = f"coalesce({_strip('s.r.lt')} = '', true)"
 
 
-def _decided(pairs: str) -> str:
+def _decided(pairs: str, cfg: DrillConfig = DrillConfig()) -> str:
     return f"""cs as (select p.query_id, p.section_id, k.child_id, k.child_ord, round({_cos("q.q_emb", "c.r.es")}, 9) sim
     from {pairs} p join kids k on k.parent_id = p.section_id join s c on c.id = k.child_id join q on q.query_id = p.query_id),
   best as (select query_id, section_id, max(sim) best from cs group by 1, 2),
   dec as (select query_id, section_id, blank, best, local,
-    case when not blank and local >= best - 0.05 and local >= 0.35 then 'seed' when best >= 0.45 then 'drill' else 'prune' end outcome
+    case when not blank and local >= best - {cfg.margin} and local >= {cfg.tau_local} then 'seed' when best >= {cfg.tau_child} then 'drill' else 'prune' end outcome
     from (select p.query_id, p.section_id, {_BLANK} blank, coalesce(best, -1.0) best, round({_cos("q.q_emb", "s.r.el")}, 9) "local"
       from {pairs} p join s on s.id = p.section_id join q on q.query_id = p.query_id left join best b on b.query_id = p.query_id and b.section_id = p.section_id))"""
 
@@ -384,9 +460,18 @@ _WALK = f"""{_ROOTS}, {_E}, walk as (select query_id, section_id id, 0 dist from
 near as (select query_id, id, min(dist) dist from walk group by 1, 2)"""
 
 
-def _budget(depth: int, nodes: int) -> str:
+_SEED_RANKS = f"""{_ROOTS}, everyone as (select query_id, s.id section_id from q, s), {_decided("everyone", WIDE)},
+ranked as (select *, row_number() over (partition by query_id, section_id order by sim desc, child_ord)::int rk from cs),
+visit as (select query_id, section_id, 0 depth, [rank] way, [section_id] trail from rr union all
+  select v.query_id, r.child_id, v.depth + 1, list_append(v.way, r.rk), list_append(v.trail, r.child_id) from visit v join dec d on d.query_id = v.query_id and d.section_id = v.section_id and d.outcome = 'drill'
+    join ranked r on r.query_id = v.query_id and r.section_id = v.section_id and r.rk <= {WIDE.top_k} where not list_contains(v.trail, r.child_id)),
+met as (select query_id, section_id, min(struct_pack(depth := depth, way := way)) f from visit group by 1, 2),
+sr as (select query_id, section_id, row_number() over (partition by query_id order by f.depth, f.way)::int rank from met join dec using (query_id, section_id) where outcome = 'seed')"""
+
+
+def _budget(depth: int, nodes: int, head: str = _ROOTS, starts: str = "rr") -> str:
     """The levels of the bounded walk, one after another."""
-    parts = [f"{_ROOTS}, {_E}, re0 as (select query_id, section_id id, 0 dist, rank::bigint rank from rr), fr0 as (select * from re0)"]
+    parts = [f"{head}, {_E}, re0 as (select query_id, section_id id, 0 dist, rank::bigint rank from {starts}), fr0 as (select * from re0)"]
     for d in range(depth):
         parts.append(f"""ac{d} as (select f.query_id, f.id, f.rank, {nodes} - h.held "left" from fr{d} f join (select query_id, count(*) held from re{d} group by 1) h using (query_id) where h.held < {nodes}),
 st{d} as (select a.query_id, e.*, a.rank from_rank, a.left, a.rank * 1000000000000 + e.seq k from ac{d} a join al e on e.from_id = a.id),
@@ -401,13 +486,25 @@ re{d + 1} as (select * from re{d} union all select * from fr{d + 1})""")
 
 
 _BUDGET = _budget(3, 200)
-_SCORE = f"""{_BUDGET}, sc as (select query_id, node_id, seq, section_id, node_type, text, dist, sim, round(
+_SCORED = f"""sc as (select query_id, node_id, seq, section_id, node_type, text, dist, sim, round(
     1.0 * sim + 0.3 * (case node_type when 'list_item' then 1.0 when 'chunk' then 0.6 when 'section_title' then 0.8 when 'caption' then 0.2 else 0.0 end)
     + 0.15 * (case lvl when 1 then 0.1 when 2 then 0.2 when 3 then 0.3 else 0.0 end) - 0.2 * dist, 9) score
   from (select r.query_id, t.id node_id, t.seq, t.r.s section_id, t.r.k node_type, t.r.x text, r.dist, {_cos("q.q_emb", "t.r.e")} sim, coalesce(s.r.l, 1) lvl
     from re3 r join t on t.id = r.id join q on q.query_id = r.query_id left join s on s.id = t.r.s)),
 tk as (select *, row_number() over (partition by query_id order by score desc, seq)::int rank from sc qualify rank <= 20)"""
+_SCORE = f"{_BUDGET}, {_SCORED}"
+_CHAIN = f"{_budget(3, 200, _SEED_RANKS, 'sr')}, {_SCORED}"
 _STEXT = f"stx as (select t.r.s section_id, {_strip(f"string_agg(t.r.x, chr(10) order by {_ordinal('t.id')}, t.seq)")} text from t where t.r.s is not null group by 1)"
+_CANDIDATES = f"""{_STEXT}, ca as (select query_id, section_id, max(score) score, list(node_id order by rank) node_ids, min(rank) fr from tk where section_id is not null group by 1, 2),
+cd as (select query_id, ca.section_id, coalesce({_strip("string_split(s.r.lt, chr(10))[1]")}, '') title, score, node_ids,
+  row_number() over (partition by query_id order by score desc, {_ordinal("ca.section_id")}, fr)::int rank, coalesce(text, '') text
+  from ca left join s on s.id = ca.section_id left join stx on stx.section_id = ca.section_id)"""
+
+
+def _detail(*columns: str) -> str:
+    return "md5(concat_ws('|', " + ", ".join(f"coalesce(({c})::varchar, '~')" for c in columns) + "))"
+
+
 _HASH = "(('0x' || substr(md5(w), 1, 2))::int % 64)"
 
 
@@ -430,7 +527,17 @@ def oracle_sql() -> dict[str, str]:
         "section_children": f"{_BASE} select parent_id, child_id, child_ord from kid",
         "chunk_links": f"{_BASE} select seq, id, section_id from ch left join own using (id)",
         "caption_retype": f"{_BASE} select id, case when id in (select from_id from edges where relation_type = 'CAPTIONS') then 'caption' else 'chunk' end node_type from ch",
-        "load_ontology": f"{_BASE} select 'sections' part, count(*) n_rows from sec union all select 'children', count(*) from kid union all select 'text_nodes', count(*) from ch union all select 'edges', count(*) from edges",
+        "load_ontology": f"""{_BASE} select 'sections' part, id, {_detail("seq", '"level"', "parent_id")} detail from sec left join par using (id)
+            union all select 'children', parent_id, {_detail("child_id", "child_ord")} from kid
+            union all select 'text_nodes', id, {_detail("seq", "section_id", "case when id in (select from_id from edges where relation_type = 'CAPTIONS') then 'caption' else 'chunk' end", "text")} from ch left join own using (id)
+            union all select 'edges', seq::varchar, {_detail("from_id", "to_id", "relation_type")} from edges""",
+        "file_chunks": f"{_BASE} select id, text from ch",
+        "file_sections": f'{_BASE} select id, "level" from sec',
+        "file_edges": "select from_id, to_id, relation_type, row_number() over (partition by from_id order by seq)::int adj_ord from edges",
+        "index_roundtrip": f"""{_IX} select 'sections' part, id, {_detail("seq", "r.l", "r.p", "r.lt", "r.st", "len(r.el)", "len(r.es)")} detail from s
+            union all select 'text_nodes', id, {_detail("seq", "r.s", "r.k", "r.x", "len(r.e)")} from t
+            union all select 'children', parent_id, {_detail("child_id", "child_ord")} from kids
+            union all select 'edges', seq::varchar, {_detail("from_id", "to_id", "relation_type")} from edges""",
         "local_text": f"{_BASE} select id, md5(local_text) local_text_md5, length(local_text) local_text_len from loc",
         "subtree_text": f"""{_BASE}, lk as (select distinct parent_id u, child_id v from kid),
             reach as (select u, v from lk union select reach.u, lk.v from reach join lk on reach.v = lk.u),
@@ -463,15 +570,21 @@ def oracle_sql() -> dict[str, str]:
         "node_score": f"{_SCORE} select query_id, node_id, section_id, node_type, dist, round(sim, 6) sim, round(score, 6) score from sc",
         "topk_nodes": f"{_SCORE} select query_id, node_id, round(score, 6) score, rank from tk",
         "section_text": f"{_IX}, {_STEXT} select section_id, md5(text) text_md5, length(text) text_len from stx",
-        "section_candidates": f"""{_SCORE}, {_STEXT}, ca as (select query_id, section_id, max(score) score, list(node_id order by rank) node_ids, min(rank) fr from tk where section_id is not null group by 1, 2)
-            select query_id, ca.section_id, coalesce({_strip("string_split(s.r.lt, chr(10))[1]")}, '') title, round(score, 6) score, node_ids,
-              row_number() over (partition by query_id order by score desc, {_ordinal("ca.section_id")}, fr)::int rank, md5(coalesce(text, '')) text_md5, length(coalesce(text, '')) text_len
-            from ca left join s on s.id = ca.section_id left join stx on stx.section_id = ca.section_id""",
+        "section_candidates": f"{_SCORE}, {_CANDIDATES} select query_id, section_id, title, round(score, 6) score, node_ids, rank, md5(text) text_md5, length(text) text_len from cd",
+        "seed_ranks": f"{_SEED_RANKS} select query_id, section_id, rank from sr",
+        "pipeline_nodes": f"{_CHAIN} select query_id, rank, node_id, section_id, node_type, round(score, 6) score from tk",
+        "pipeline_documents": f"""{_CHAIN}, {_CANDIDATES} select q.query_id, q.query, coalesce(sections, '') sections, md5(coalesce(texts, '')) texts_md5, coalesce(titles, '') titles,
+              coalesce(text_nodes, '') text_nodes, coalesce(graph_nodes, '') graph_nodes, coalesce(graph_edges, '') graph_edges
+            from q left join (select query_id, string_agg(section_id, '|' order by rank) sections, string_agg(text, '|' order by rank) texts, string_agg(title, '|' order by rank) titles from cd group by 1) a using (query_id)
+            left join (select query_id, string_agg(node_id, '|' order by rank) text_nodes from tk group by 1) b using (query_id)
+            left join (select query_id, string_agg(id, '|' order by rank) graph_nodes from re3 group by 1) c using (query_id)
+            left join (select query_id, string_agg(tr.from_id || '>' || tr.to_id || ':' || e.relation_type, '|' order by ord) graph_edges from tr join edges e using (seq) group by 1) d using (query_id)""",
         "graph_context": f"""{_BUDGET} select n.query_id, nodes, coalesce(n_edges, 0)::int n_edges, coalesce(edges, '') edges
             from (select query_id, string_agg(id, ',' order by rank) nodes from re3 group by 1) n
             left join (select query_id, count(*) n_edges, string_agg(from_id || '>' || to_id, ',' order by ord) edges from tr group by 1) e using (query_id)""",
         "level_histogram": f'{_BASE} select "level", count(*) n_sections from sec group by 1',
-        "orphans": f'{_BASE} select id, "level" from sec left join par using (id) where "level" <> 1 and parent_id is null',
+        "orphans": f"""{_BASE}, half as (select to_id id, arg_max(from_id, seq) parent_id from sub where seq % 2 = 1 group by 1)
+            select id, "level" from sec left join half using (id) where "level" <> 1 and parent_id is null""",
         "caption_check": f"""{_BASE} select (select count(*) from ch where id in (select from_id from edges where relation_type = 'CAPTIONS')) caption_nodes,
             (select count(*) from edges where relation_type = 'CAPTIONS') caption_edges""",
         "raw_levels": f"{_BASE} select count(*) filter (({_LEVEL}) is not null) with_level, count(*) filter (({_LEVEL}) is null) without_level from n where type = 'Section'",

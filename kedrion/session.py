@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
-_staged: list[str] = []
+_staged: dict[str, list[str]] = {}  # by application
 _own_dir: list[str] = []
 
 
@@ -54,20 +54,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the staging folder; ``release`` deletes it."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back (schema preserved)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _staged.append(path)
+    path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the tables this process has staged; frames built on them can no longer be read."""
+    """Delete the tables staged for this application; frames built on them can no longer be read."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+    for staged_at in _staged.pop(spark.sparkContext.applicationId, []):
+        path = jvm.org.apache.hadoop.fs.Path(staged_at)
         path.getFileSystem(conf).delete(path, True)
 
 

@@ -1,41 +1,47 @@
 """Sources: the two JSON files of an ontology, and the same as tables.
 
-The file scan keeps the position of every item as ``seq``; order is semantic throughout (it decides
+A file is one JSON array, or JSON Lines (``.jsonl``, ``.ndjson``: one item a line, read in parallel).  Either
+scan keeps the position of every item as ``seq``; order is semantic throughout (it decides
 which duplicate wins, the order of texts and of children), and is never taken from partition order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+LINES = (".jsonl", ".ndjson", ".jsonl.gz", ".ndjson.gz")
 
-def load_json(spark: SparkSession, path: str) -> DataFrame:
-    """Items of a file that holds one JSON array: ``seq``, ``item`` (variant)."""
-    whole = spark.read.text(path, wholetext=True)
-    whole.createOrReplaceTempView("__json_file")
-    return spark.sql("select cast(t.pos as bigint) seq, t.value item from __json_file, lateral variant_explode(parse_json(value)) t")
 
+def load_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Items with their place in the file: ``seq`` and the columns of ``schema``; other keys are ignored.
 
-def _field(name: str) -> F.Column:
-    return F.try_variant_get("item", f"$.{name}", "string").alias(name)
+    An array is one file and one task (its rows stream through one parser); large input should be JSON Lines.
+    """
+    if not path.rstrip("/").endswith(LINES):
+        items = spark.read.schema(schema).option("multiLine", True).json(path)
+        return items.select(F.monotonically_increasing_id().alias("seq"), "*")  # one file, one partition
+    items = spark.read.schema(schema).json(path)
+    meta = F.col("_metadata")
+    items = items.select("*", meta["file_path"].alias("__file"), meta["file_size"].alias("__size"), meta["file_block_start"].alias("__start"), F.monotonically_increasing_id().alias("__at"))
+    # a row takes a byte at least, so (bytes before the split) + (place in the split) is unique and in order
+    splits = items.groupBy("__file", "__size", "__start").agg(F.min("__at").alias("__low"))
+    files = splits.select("__file", "__size").distinct()
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a file
+    splits = splits.drop("__size").join(files.select("__file", before.alias("__before")), "__file")
+    placed = items.join(F.broadcast(splits), ["__file", "__start"])  # one row a split
+    return placed.withColumn("seq", F.col("__before") + F.col("__start") + F.col("__at") - F.col("__low")).select("seq", *[c for c in items.columns if not c.startswith("__")])
 
 
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:
     """``seq``, ``id``, ``type``, ``text``, ``attributes`` (JSON text); unknown keys are ignored."""
-    attributes = F.to_json(F.try_variant_get("item", "$.attributes", "variant"))
-    return load_json(spark, path).select("seq", _field("id"), _field("type"), _field("text"), attributes.alias("attributes"))
+    return load_json(spark, path, "id string, type string, text string, attributes string")
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
     """``seq``, ``from_id``, ``to_id``, ``relation_type``: no validation, nothing removed."""
-    items = load_json(spark, path)
-    return items.select(
-        "seq",
-        F.try_variant_get("item", "$.source", "string").alias("from_id"),
-        F.try_variant_get("item", "$.target", "string").alias("to_id"),
-        F.try_variant_get("item", "$.type", "string").alias("relation_type"),
-    )
+    items = load_json(spark, path, "source string, target string, type string")
+    return items.select("seq", F.col("source").alias("from_id"), F.col("target").alias("to_id"), F.col("type").alias("relation_type"))
 
 
 def live(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import deque
 
 import pytest
 
+from kedrion.operators import expand as module
 from kedrion.operators.expand import ALLOWED_RELATIONS, ExpandConfig, expand
 
 
@@ -53,3 +54,27 @@ def test_equals_the_queue(spark, seed, depth, budget):
         assert [r.id for r in reached if r.query_id == q] == order
         assert {r.id: r.dist for r in reached if r.query_id == q} == dist
         assert [r.seq for r in traversed if r.query_id == q] == out
+
+
+def test_work_follows_the_frontier(spark, monkeypatch):
+    """What is written does not grow with edges that no query reaches."""
+    written = []
+    for size in (1_000, 20_000):
+        edges = spark.range(size).selectExpr("id seq", "concat('a', id % 500) from_id", "concat('a', id % 499 + 500) to_id", "'LINKS_TO' relation_type")
+        near = spark.createDataFrame([(size + k, "s", f"b{k}", "HAS_CHUNK") for k in range(30)], "seq bigint, from_id string, to_id string, relation_type string")
+        seeds = spark.createDataFrame([("q", "s", 1)], "query_id string, id string, rank int")
+        total = 0
+        kept, staged_ = module.staged_with, module.staged
+
+        def count(df, *rest):
+            nonlocal total
+            table = staged_(df, *rest)
+            total += table.count()
+            return table
+
+        monkeypatch.setattr(module, "staged", count)
+        reached, _ = expand(seeds, edges.unionByName(near), ExpandConfig(2, 100))
+        monkeypatch.setattr(module, "staged", staged_)
+        assert reached.count() == 31 and kept is module.staged_with
+        written.append(total)
+    assert written[0] == written[1] == 30

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from kedrion.operators import hierarchy, ingest, quality
 from kedrion.operators.drill import DrillConfig, select_seeds
-from kedrion.operators.embed import HashingEncoder, query_embeddings, text_embeddings
+from kedrion.operators.embed import DEFAULT_MODEL, HashingEncoder, SentenceEncoder, query_embeddings, text_embeddings
 from kedrion.operators.expand import ExpandConfig, expand, khop
 from kedrion.operators.score import node_scores, top_nodes
-from kedrion.plans import cli
+from kedrion.plans import build, cli
 from kedrion.plans.pipeline import Engine, build_index
 from kedrion.session import staged
-from kedrion.sources.index_store import Index, dimension, load_index, save_index, saved_dimension
+from kedrion.sources.index_store import Index, dimension, load_index, save_index, saved_dimension, saved_facts
 from kedrion.sources.json_ontology import read_edges, read_nodes
 
 NODES = [
@@ -150,9 +150,58 @@ def test_store_and_cli(spark, index, tmp_path):
         save_index(Index(index.sections.withColumn("e_subtree", F.lit(None).cast("array<float>")), *[getattr(index, t) for t in ("children", "text_nodes", "edges")]), f"file://{tmp_path}/none")
     assert not (tmp_path / "none").exists()
     assert list(cli.asked([" a \n", "\n", "QUIT", "b"])) == ["a", ""]
-    encoder = HashingEncoder(2)
-    out = json.loads(cli.answer(spark, Engine(again), encoder, "beta"))
-    assert set(out) == {"query", "section_candidates"}
+
+
+def test_build_load_and_ask_by_one_encoder(spark, files, tmp_path):
+    """From the two files to an answer; another encoder, or vectors of another dimension, are refused."""
+    lines = tmp_path / "edges.jsonl"
+    lines.write_text("\n".join(json.dumps(dict(zip(("source", "type", "target"), e.split()))) for e in LINKS.replace("\n", "|").split("|")))
+    (tmp_path / "nodes.json").write_text(json.dumps(NODES, ensure_ascii=False))
+    folder = f"file://{tmp_path}/ix"
+    assert build.build(spark, f"file://{tmp_path}/nodes.json", f"file://{lines}", folder, HashingEncoder(32)) == 32
+    assert saved_facts(spark, folder) == (32, "hashing-32")
+    engine = cli.opened(spark, folder)
+    assert engine.encoder.dim == 32 and engine.max_graph_nodes == 800
+    out = json.loads(cli.answer(spark, engine, "beta\nalpha\ngamma"))
+    assert set(out) == {"query", "section_candidates"} and out["section_candidates"][0]["section_id"] == "sec_ch2"
+    for wrong in (HashingEncoder(), SentenceEncoder(dim=32)):
+        with pytest.raises(ValueError):
+            cli.opened(spark, folder, wrong)
+    with pytest.raises(ValueError):
+        Engine(load_index(spark, folder)).run(spark.createDataFrame([("q", "x")], "query_id string, query string"))
+
+
+def test_json_lines_keep_their_order_over_splits(spark, tmp_path):
+    for part in range(3):
+        (tmp_path / "n.jsonl").mkdir(exist_ok=True)
+        (tmp_path / "n.jsonl" / f"part-{part}.json").write_text("".join(json.dumps({"id": f"{part}-{k:04d}", "type": "Chunk", "text": "ы" * (k % 50), "x": k}) + "\n" for k in range(1500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = read_nodes(spark, f"file://{tmp_path}/n.jsonl")
+        assert rows.rdd.getNumPartitions() > 4
+        got = [r.id for r in rows.orderBy("seq").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted(got) and len(got) == 4500
+
+
+def test_sentence_encoder_with_a_stand_in_model(spark, tmp_path):
+    (tmp_path / "sentence_transformers.py").write_text(
+        "import numpy as np\n"
+        "class SentenceTransformer:\n"
+        "    def __init__(self, name, device=None):\n"
+        "        self.name = name\n"
+        "    def encode(self, texts, normalize_embeddings):\n"
+        "        assert all(t for t in texts) and normalize_embeddings\n"
+        "        return np.array([[len(t), 0.0, 0.0] for t in texts]) / np.array([[max(1, len(t))] for t in texts])\n"
+    )
+    spark.sparkContext.addPyFile(str(tmp_path / "sentence_transformers.py"))
+    encoder = SentenceEncoder(dim=3)
+    assert encoder.name == DEFAULT_MODEL
+    rows = query_embeddings(spark.createDataFrame([("q", None), ("r", "слово")], "query_id string, query string"), encoder)
+    assert {r.query_id: list(r.q_emb) for r in rows.collect()} == {"q": [1.0, 0.0, 0.0], "r": [1.0, 0.0, 0.0]}
+    with pytest.raises(Exception, match="dimensions"):
+        query_embeddings(spark.createDataFrame([("r", "слово")], "query_id string, query string"), SentenceEncoder()).collect()
 
 
 def test_encoders(spark):
