@@ -8,11 +8,12 @@ the Jaccard similarity of sets.  All pairs of at least ``num/den`` are found; no
    form one *class*, of which only the member of the smallest id goes on.
 2. **Routing** - elements are ordered by how many texts hold them (counted in ``2**BITS`` buckets: a
    table of fixed size, whatever the vocabulary).  Two similar texts share one of their rarest
-   ``n - ceil(n num/den) + 1`` elements; each text is sent to the trees of those of them that any
-   other text may be sent for.
+   ``n - ceil(n num/den) + 1`` elements, and of the smaller text it is one of its rarest
+   ``n - ceil(2n num/(num+den)) + 1`` (it is *early* there); each text is sent to the trees of those elements for which it can
+   meet another under that rule.
 3. **Signature trees** - the texts sent for one element, in order of size, are the leaves of a tree.
    Every node holds the OR of its texts' bitmaps, their range of sizes, the largest number
-   of bits they lost to collisions and their longest remainder after the shared element.
+   of bits they lost to collisions, their longest remainder after the shared element, and whether any is early.
 4. **Dual traversal** - pairs of nodes are opened from the root down, level by level; a pair whose
    greatest possible overlap (common bits + lost bits, and the remainders) is below what the smallest
    sizes need, or whose sizes are too far apart, is dropped with all pairs below it.
@@ -122,31 +123,40 @@ def prefix(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return n - -(-n * num // den) + 1
 
 
-def _rarest(sizes: np.ndarray, flat: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, element, place) of the elements each text may be sent for, in order of their counts."""
+def _rarest(sizes: np.ndarray, flat: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, element, place, whether early) of the elements each text may be sent for, in order of their counts."""
     doc = np.repeat(np.arange(len(sizes)), sizes)
     how = counts[(flat & np.uint64(len(counts) - 1)).astype(np.int64)]
     order = np.lexsort((flat, how, doc))
     place = np.arange(len(flat)) - np.repeat(_offsets(sizes)[:-1], sizes)
     near = place < np.repeat(prefix(sizes, num, den), sizes)
-    return doc[near], flat[order][near], place[near]
+    early = place < np.repeat(prefix(sizes, 2 * num, num + den), sizes)
+    return doc[near], flat[order][near], place[near], early[near]
 
 
-def _histogram(df: DataFrame, pick) -> np.ndarray:
-    """Rows of each bucket over the whole of ``df``: summed on the executors, of fixed size on the driver."""
+def _histograms(df: DataFrame, pick) -> tuple[np.ndarray, np.ndarray]:
+    """Of each bucket over the whole of ``df``: rows, and rows that are marked; summed on the executors, of fixed size on the driver.
+
+    ``pick``: a batch to (elements, marks).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BITS, np.int64)
+        total, marked = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            total += np.bincount((pick(batch) & np.uint64((1 << BITS) - 1)).astype(np.int64), minlength=1 << BITS)
+            elements, mark = pick(batch)
+            bucket = (elements & np.uint64((1 << BITS) - 1)).astype(np.int64)
+            total += np.bincount(bucket, minlength=1 << BITS)
+            if mark is not None:
+                marked += np.bincount(bucket[mark], minlength=1 << BITS)
         at = np.flatnonzero(total)
         for k in range(0, len(at), 100_000):
             part = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["bucket", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part]), pa.array(marked[part])], ["bucket", "rows", "marked"])
 
-    sums = df.mapInArrow(run, "bucket int, rows bigint").groupBy("bucket").agg(F.sum("rows").alias("rows")).toPandas()
-    out = np.zeros(1 << BITS, np.int32)
-    out[sums["bucket"].to_numpy()] = np.minimum(sums["rows"].to_numpy(), np.iinfo(np.int32).max)
+    sums = df.mapInArrow(run, "bucket int, rows bigint, marked bigint").groupBy("bucket").agg(F.sum("rows").alias("rows"), F.sum("marked").alias("marked")).toPandas()
+    out = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for counts, column in zip(out, ("rows", "marked")):
+        counts[sums["bucket"].to_numpy()] = np.minimum(sums[column].to_numpy(), np.iinfo(np.int32).max)
     return out
 
 
@@ -162,17 +172,18 @@ def routed(texts: DataFrame, num: int = NUM, den: int = DEN, chunk: int = CHUNK)
     sc = texts.sparkSession.sparkContext
     kind = texts.schema["id"].dataType.simpleString()
     only = texts.select("elems")
-    counts = sc.broadcast(_histogram(only, lambda b: _lists(b, "elems")[1]))
-    sent = sc.broadcast(_histogram(only, lambda b: _rarest(*_lists(b, "elems"), counts.value, num, den)[1]))
+    counts = sc.broadcast(_histograms(only, lambda b: (_lists(b, "elems")[1], None))[0])
+    sent = sc.broadcast(_histograms(only, lambda b: _rarest(*_lists(b, "elems"), counts.value, num, den)[1::2]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, flat = _lists(batch, "elems")
             sig, lost = signatures(sizes, flat)
-            doc, elem, place = _rarest(sizes, flat, counts.value, num, den)
-            many = sent.value[(elem & np.uint64((1 << BITS) - 1)).astype(np.int64)]
-            use = many > 1
-            doc, elem, place, many = doc[use], elem[use], place[use], many[use]
+            doc, elem, place, early = _rarest(sizes, flat, counts.value, num, den)
+            bucket = (elem & np.uint64((1 << BITS) - 1)).astype(np.int64)
+            many, leading = (h[bucket] for h in sent.value)
+            use = np.where(early, many > 1, leading > 0)  # a text that is not early meets only those that are
+            doc, elem, place, many, early = doc[use], elem[use], place[use], many[use], early[use]
             slots = -(-many // chunk)
             first = np.zeros(len(sizes), np.uint64)
             np.bitwise_xor.at(first, np.repeat(np.arange(len(sizes)), sizes), flat)
@@ -181,7 +192,7 @@ def routed(texts: DataFrame, num: int = NUM, den: int = DEN, chunk: int = CHUNK)
             other = np.arange(len(copy)) - np.repeat(_offsets(slots)[:-1], slots)
             own = slot[copy]
             cell = np.minimum(own, other) * slots[copy] + np.maximum(own, other)
-            doc, elem, place = doc[copy], elem[copy], place[copy]
+            doc, elem, place, early = doc[copy], elem[copy], place[copy], early[copy]
             for k in range(0, len(doc), 50_000):
                 s = slice(k, k + 50_000)
                 d = doc[s]
@@ -191,23 +202,24 @@ def routed(texts: DataFrame, num: int = NUM, den: int = DEN, chunk: int = CHUNK)
                         pa.array(cell[s]),
                         pa.array(own[s] != other[s]),
                         pa.array(own[s] > other[s]),
+                        pa.array(early[s]),
                         pa.array(sizes[d].astype(np.int32)),
                         pa.array((sizes[d] - place[s]).astype(np.int32)),
                         pa.array(lost[d]),
                         pa.array([v.tobytes() for v in sig[d]], pa.binary()),
                         batch.column(0).take(pa.array(d)),
                     ],
-                    ["elem", "cell", "mixed", "side", "n", "rest", "lost", "sig", "id"],
+                    ["elem", "cell", "mixed", "side", "early", "n", "rest", "lost", "sig", "id"],
                 )
 
-    return texts.select("id", "elems").mapInArrow(run, f"elem bigint, cell bigint, mixed boolean, side boolean, n int, rest int, lost int, sig binary, id {kind}")
+    return texts.select("id", "elems").mapInArrow(run, f"elem bigint, cell bigint, mixed boolean, side boolean, early boolean, n int, rest int, lost int, sig binary, id {kind}")
 
 
 class Forest:
     """Signature trees over rows sorted by tree and size; all trees are held level by level in arrays."""
 
-    def __init__(self, tree: np.ndarray, n: np.ndarray, rest: np.ndarray, lost: np.ndarray, sig: np.ndarray):
-        self.levels = [(sig, n, n, lost, rest)]
+    def __init__(self, tree: np.ndarray, n: np.ndarray, rest: np.ndarray, lost: np.ndarray, sig: np.ndarray, early: np.ndarray):
+        self.levels = [(sig, n, n, lost, rest, early)]
         self.children: list[np.ndarray] = []
         group = tree
         while True:
@@ -219,19 +231,19 @@ class Forest:
                 break
             within = np.arange(count) - np.repeat(starts, np.diff(np.append(starts, count)))
             first = np.flatnonzero(within % FAN == 0)
-            bits, low, high, gone, left = self.levels[-1]
+            bits, low, high, gone, left, soon = self.levels[-1]
             self.levels.append((
                 np.bitwise_or.reduceat(bits, first, axis=0), np.minimum.reduceat(low, first), np.maximum.reduceat(high, first),
-                np.maximum.reduceat(gone, first), np.maximum.reduceat(left, first),
+                np.maximum.reduceat(gone, first), np.maximum.reduceat(left, first), np.maximum.reduceat(soon, first),
             ))
             self.children.append(np.append(first, count))
             group = group[first]
 
     def _kept(self, level: int, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
         """Whether a pair of nodes may hold a pair of similar texts."""
-        bits, low, high, lost, rest = self.levels[level]
+        bits, low, high, lost, rest, early = self.levels[level]
         need = -(-(low[a] + low[b]) * num // (num + den))
-        ok = (high[a] * den >= num * low[b]) & (high[b] * den >= num * low[a]) & (np.minimum(rest[a], rest[b]) >= need)
+        ok = (high[a] * den >= num * low[b]) & (high[b] * den >= num * low[a]) & (np.minimum(rest[a], rest[b]) >= need) & (early[a] | early[b])
         at = np.flatnonzero(ok)
         if len(at):
             a, b = a[at], b[at]
@@ -282,10 +294,11 @@ def _joined(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
         sig = column["sig"].take(pa.array(row))
         sig = np.frombuffer(b"".join(sig.to_pylist()), np.uint64).reshape(len(row), WIDTH // 64)
         number = {c: column[c].to_numpy().astype(np.int64)[row] for c in ("n", "rest", "lost")}
-        mixed, side = (column[c].to_numpy(zero_copy_only=False)[row] for c in ("mixed", "side"))
-        forest = Forest(tree[row], number["n"], number["rest"], number["lost"], sig)
+        mixed, side, early = (column[c].to_numpy(zero_copy_only=False)[row] for c in ("mixed", "side", "early"))
+        n = number["n"]
+        forest = Forest(tree[row], n, number["rest"], number["lost"], sig, early)
         for a, b in forest.pairs(num, den):
-            ok = ~mixed[a] | (side[a] != side[b])
+            ok = (~mixed[a] | (side[a] != side[b])) & (early[a] | (early[b] & (n[a] == n[b])))  # a is the smaller text
             x, y = column["id"].take(pa.array(row[a[ok]])), column["id"].take(pa.array(row[b[ok]]))
             yield pa.RecordBatch.from_arrays([x, y], ["x", "y"])
 
