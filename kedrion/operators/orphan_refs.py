@@ -78,7 +78,21 @@ def _period(column: str) -> F.Column:
     return F.date_format(column, "yyyy-MM")
 
 
-def _coded(refs: list[Reference], parents: dict[str, DataFrame], id_: str, loaded: str, removed: str, fill: int) -> DataFrame:
+def _referring(refs: list[Reference], seq: str, loaded: str) -> DataFrame:
+    """``ref``, ``key``, ``seq``, ``at``, ``period`` of every reference that is not null; each table is read once for all its fields."""
+    tables: dict[int, list[int]] = {}
+    for k, r in enumerate(refs):
+        tables.setdefault(id(r.rows), []).append(k)
+    out = None
+    for own in tables.values():
+        named = F.explode(F.array(*[F.struct(F.lit(k).alias("ref"), F.col(refs[k].field).alias("key")) for k in own])).alias("r")
+        rows = refs[own[0]].rows.select(F.col(seq).alias("seq"), F.col(loaded).cast("timestamp").alias("at"), _period(loaded).alias("period"), named)
+        rows = rows.select("r.ref", "r.key", "seq", "at", "period").filter("key is not null")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _coded(refs: list[Reference], parents: dict[str, DataFrame], id_: str, seq: str, loaded: str, removed: str, fill: int) -> DataFrame:
     """Referred keys by field and period, and parents' keys, with their codes: ``range``, ``pos``."""
     live = F.when(F.col(removed).isNull(), F.coalesce(F.col(loaded).cast("timestamp"), F.lit("0001-01-01").cast("timestamp")))
     union = None
@@ -87,11 +101,11 @@ def _coded(refs: list[Reference], parents: dict[str, DataFrame], id_: str, loade
             F.lit(name).alias("parent"), F.lit(None).cast("int").alias("ref"), "key", F.lit(None).cast("string").alias("period"), "since"
         )
         union = rows if union is None else union.unionByName(rows)
-    for k, r in enumerate(refs):
-        rows = r.rows.filter(F.col(r.field).isNotNull()).select(F.col(r.field).alias("key"), _period(loaded).alias("period")).distinct().select(
-            F.lit(r.parent).alias("parent"), F.lit(k).alias("ref"), "key", "period", F.lit(None).cast("timestamp").alias("since")
-        )
-        union = rows if union is None else union.unionByName(rows)
+    parent = F.element_at(F.array(*[F.lit(r.parent) for r in refs]), F.col("ref") + 1)
+    rows = _referring(refs, seq, loaded).select("ref", "key", "period").distinct().select(
+        parent.alias("parent"), "ref", "key", "period", F.lit(None).cast("timestamp").alias("since")
+    )
+    union = rows if union is None else union.unionByName(rows)
     union, seen = staged_with(union, "orphan-marks", rows=F.count("*"))
     buckets = max(1, -(-seen["rows"] // fill))
     union = union.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
@@ -148,7 +162,7 @@ def _and_not(group: pd.DataFrame) -> pd.DataFrame:
 
 def orphans(refs: list[Reference], parents: dict[str, DataFrame], id_: str = "id", seq: str = "seq", loaded: str = "loaded_at", removed: str = "removed_at", fill: int = FILL) -> DataFrame:
     """``ref_table``, ``ref_field``, ``seq``, ``reason``, ``period``: one row for each failing reference."""
-    coded = staged(_coded(refs, parents, id_, loaded, removed, fill), "orphan-codes")
+    coded = staged(_coded(refs, parents, id_, seq, loaded, removed, fill), "orphan-codes")
     marks = (
         coded.filter("ref is not null").select("range", "pos", "parent", "ref", F.lit(_REFERRED).alias("kind"), "period")
         .unionByName(coded.filter("ref is null").select("range", "pos", "parent", F.lit(None).cast("int").alias("ref"), F.lit(_ANY).alias("kind"), F.lit(None).cast("string").alias("period")))
@@ -165,17 +179,16 @@ def orphans(refs: list[Reference], parents: dict[str, DataFrame], id_: str = "id
     since = coded.filter("ref is null and since is not null").select("parent", "key", "since")
     left = left.join(since, ["parent", "key"], "left").select("ref", F.col("key").alias("__key"), F.col("period").alias("__period"), "reason", F.when(F.col("reason") == "close", F.col("since")).alias("since"))
     left = staged(left, "orphan-keys")
-    out = None
-    for k, r in enumerate(refs):
-        rows = r.rows.filter(F.col(r.field).isNotNull()).select(F.col(seq).alias("seq"), F.col(r.field).alias("key"), F.col(loaded).cast("timestamp").alias("at"), _period(loaded).alias("period"))
-        own = left.filter(F.col("ref") == k).drop("ref")
-        hit = rows.join(own, (rows["key"] == own["__key"]) & rows["period"].eqNullSafe(own["__period"]))
-        hit = hit.filter((F.col("reason") != "close") | (F.col("since") > F.col("at"))).select(
-            F.lit(r.table).alias("ref_table"), F.lit(r.field).alias("ref_field"), "seq",
-            F.when(F.col("reason") == "close", "late").otherwise(F.col("reason")).alias("reason"), "period",
-        )
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    rows, own = _referring(refs, seq, loaded), left.withColumnRenamed("ref", "__ref")
+    hit = rows.join(own, (F.col("ref") == F.col("__ref")) & (F.col("key") == F.col("__key")) & F.col("period").eqNullSafe(F.col("__period")))
+
+    def of(values: list[str]) -> F.Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("ref") + 1)
+
+    return hit.filter((F.col("reason") != "close") | (F.col("since") > F.col("at"))).select(
+        of([r.table for r in refs]).alias("ref_table"), of([r.field for r in refs]).alias("ref_field"), "seq",
+        F.when(F.col("reason") == "close", "late").otherwise(F.col("reason")).alias("reason"), "period",
+    )
 
 
 def summary(found: DataFrame) -> DataFrame:

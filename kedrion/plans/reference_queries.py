@@ -15,13 +15,13 @@ from kedrion.functions.text import SPACE
 from kedrion.functions.vectors import nearest
 from kedrion.operators import assemble, hierarchy, ingest, quality
 from kedrion.operators.drill import DrillConfig, child_scores, decide, root_ranking, select_seeds
-from kedrion.operators.embed import HashingEncoder, section_embeddings, text_embeddings
+from kedrion.operators.embed import HashingEncoder, query_embeddings, section_embeddings, text_embeddings
 from kedrion.operators.expand import ALLOWED_RELATIONS, ExpandConfig, expand
 from kedrion.operators.expand import khop as khop_
 from kedrion.operators.score import ScoreConfig, node_scores, top_nodes
 from kedrion.plans.pipeline import Engine
 from kedrion.session import load_table, shared_path, staged
-from kedrion.sources.index_store import Index, load_index, save_index
+from kedrion.sources.index_store import Index, load_index, save_index, saved_facts
 from kedrion.sources.json_ontology import live, read_edges, read_nodes
 from kedrion.sources.tables import index_of
 
@@ -151,6 +151,13 @@ def index_roundtrip(spark, sf):
     return rows.unionByName(_digests("children", found.children, "parent_id", "child_id", "child_ord")).unionByName(_digests("edges", found.edges, "seq", "from_id", "to_id", "relation_type"))
 
 
+def index_facts(spark, sf):
+    """Dimension and encoder of a saved index, as read again."""
+    folder = shared_path(spark, "index")
+    save_index(_index(spark, sf), folder, "given")
+    return spark.createDataFrame([saved_facts(spark, folder)], "dim int, encoder string")
+
+
 # --- hierarchy -----------------------------------------------------------------------------------
 
 
@@ -197,6 +204,12 @@ def section_embedding(spark, sf):
     return both[0].unionByName(both[1])
 
 
+def query_embedding(spark, sf):
+    """Queries by the encoder of the texts; blank ones are similar to nothing."""
+    rows = query_embeddings(_queries(spark, sf).select(F.col("query_id").alias("id"), "query"), HashingEncoder())
+    return _components(rows, "q_emb")
+
+
 # --- similarity and drill ------------------------------------------------------------------------
 
 
@@ -379,7 +392,7 @@ def pair_cosine(spark, sf):
 
 _ALL = (
     node_kinds, section_scan, figure_scan, chunk_scan, page_number_filter, edge_scan, section_links, section_children, chunk_links,
-    caption_retype, load_ontology, file_chunks, file_sections, file_edges, index_roundtrip, local_text, subtree_text, roots, section_path, text_embedding, section_embedding, vector_topk,
+    caption_retype, load_ontology, file_chunks, file_sections, file_edges, index_roundtrip, index_facts, local_text, subtree_text, roots, section_path, text_embedding, section_embedding, query_embedding, vector_topk,
     embeddings_topk, root_rank, child_score, drill_decisions, seeds, bfs_nodes, bfs_edges, bfs_budget, bfs_budget_edges, khop,
     node_score, topk_nodes, section_text, section_candidates, graph_context, full_pipeline, seed_ranks, pipeline_nodes, pipeline_documents, level_histogram, orphans,
     caption_check, raw_levels, phantoms, embedding_coverage, pair_cosine,
@@ -538,6 +551,8 @@ def oracle_sql() -> dict[str, str]:
             union all select 'text_nodes', id, {_detail("seq", "r.s", "r.k", "r.x", "len(r.e)")} from t
             union all select 'children', parent_id, {_detail("child_id", "child_ord")} from kids
             union all select 'edges', seq::varchar, {_detail("from_id", "to_id", "relation_type")} from edges""",
+        "index_facts": f"{_IX} select arg_min(len(r.es), seq)::int dim, 'given' encoder from s where r.es is not null",
+        "query_embedding": _hashed("select query_id id, query txt from queries"),
         "local_text": f"{_BASE} select id, md5(local_text) local_text_md5, length(local_text) local_text_len from loc",
         "subtree_text": f"""{_BASE}, lk as (select distinct parent_id u, child_id v from kid),
             reach as (select u, v from lk union select reach.u, lk.v from reach join lk on reach.v = lk.u),
