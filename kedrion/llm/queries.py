@@ -176,6 +176,33 @@ _P4R = _ITEMS + """
 select item_table, item_field, id, md5(t) text_md5, length(t)::int n_chars, true within_limit, true joined_by_overlap
 from items where id is not null and length(t) > 2000
 """
+#: Words in common over words in either, repeated words counted as often as they occur.
+_P3 = """
+with recursive t as (select id, arg_min(text, seq) text from text_nodes where id is not null group by id),
+w as (select id, word, count(*) n from (select id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) word from t) group by all),
+size as (select id, sum(n)::bigint n from w group by id having sum(n) >= 20),
+kept as (select w.* from w join size using (id)),
+shared as (select a.id id_a, b.id id_b, sum(least(a.n, b.n))::bigint c from kept a join kept b on a.word = b.word and a.id < b.id group by all),
+near as (select id_a, id_b, c = a.n and c = b.n alike from shared join size a on a.id = id_a join size b on b.id = id_b where c * 10 >= (a.n + b.n - c) * 7)
+"""
+_P3G = _P3 + """, ways as (select id_a u, id_b v, alike from near union all select id_b, id_a, alike from near),
+reach as (select u, v from ways union select reach.u, ways.v from reach join ways on ways.u = reach.v)
+select u id, min(least(u, v)) group_id, coalesce(min(v) filter (alike and v < u), u) class_id, count(distinct v) filter (alike is not null) n_links
+from (select u, v, alike from ways union all select u, v, null from reach) group by u
+"""
+
+
+def _vectors(field: str, table: str) -> str:
+    """Pairs of one column: of cosine 0.9 and more, one among the ten most similar of the other (exactly, all against all)."""
+    return f"""select '{field}' vec_field, least(a, b) id_a, greatest(a, b) id_b from (
+      select a.id a, b.id b, list_cosine_similarity(a.v, b.v) c, row_number() over (partition by a.id order by c desc, b.id) r
+      from v_{field} a join v_{field} b on a.id <> b.id) where r <= 10 and c >= 0.9"""
+
+
+_P5 = "with " + ", ".join(
+    f"""v_{field} as (select id, v::double[] v from (select id, arg_min({field}, seq) v, arg_min({field} is null, seq) none from {table} where id is not null group by id)
+      where not none and len(v) = 64 and list_sum(list_transform(v, lambda x: abs(x))) > 0)""" for field, table in _VECTORS
+) + " select distinct * from (" + " union all ".join(_vectors(*v) for v in _VECTORS) + ")"
 _SPELLED = r"regexp_replace(lower(trim(source)), '[\s-]+', '_', 'g')"
 #: Certain copies, then Pareto order sampling, as one order of each source.
 _P7 = f"""
@@ -201,6 +228,13 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _P4,
         "p4_roundtrip": _P4R,
+        "p3_found": _P3 + "select id_a, id_b from near",
+        "p3_groups": _P3G,
+        "p5_found": _P5,
+        # words and single signs for tokens: by the statement of the problem any common tokenizer gives the same sources
+        "p7_found": f"""with d as (select {_SPELLED} source, sum(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]'))) t from documents group by 1),
+            g as (select {_SPELLED} source, sum(target_share) share, max(max_repeats) cap from mix_targets group by 1)
+            select source from g left join d using (source) where coalesce(t, 0) * cap < share * (select sum(t) from d)""",
         "p7_weighted_mix": _P7 + "select doc_id, source, tokens, repeats from mixed",
         "p7_weighted_shares": _P7 + """, given as (select source, sum(tokens * repeats)::bigint given, bool_and(tokens = 0 or repeats >= cap) filled from r group by 1)
             select source, cap::int max_repeats, available, coalesce(given, 0)::bigint given, round(coalesce(given, 0) / sum(coalesce(given, 0)) over (), 9) actual_share,
