@@ -92,11 +92,18 @@ _P2P = f"""{_FOREST} select id, rooted, path[1] root, len(path) depth, path,
   (select count(*) - 1 from tree d where list_contains(d.path, tree.id)) n_descendants from tree"""
 _P2D = f"{_FOREST} select path[i] id, id descendant from tree, range(1, 1000) g(i) where i < len(path)"
 #: the heavy child has the largest subtree, of equals the greatest id; a chain begins at the last node of a path that is none
-_P2C = f"""{_FOREST}, sized as (select x.id, (select count(*) from tree d where list_contains(d.path, x.id)) n, x.path[-2] up, x.path from tree x),
+_CHAINS = f"""{_FOREST}, sized as (select x.id, (select count(*) from tree d where list_contains(d.path, x.id)) n, x.path[-2] up, x.path from tree x),
 heavy as (select up, max(struct_pack(n := n, id := id)).id h from sized where up is not null group by up),
 lights as (select id, max(i) i from (select id, path, unnest(range(1, len(path) + 1)) i from sized)
   where i = 1 or not exists (select 1 from heavy where heavy.up = path[i - 1] and heavy.h = path[i]) group by id)
-select id, path[i] chain, (len(path) - i)::int chain_pos from sized join lights using (id)"""
+"""
+_P2C = f"{_CHAINS} select id, path[i] chain, (len(path) - i)::int chain_pos from sized join lights using (id)"
+#: numbers go down the heavy child first, then down the others in the order of their ids
+_P2H = f"""{_CHAINS}, places as (select x.id, row_number() over (partition by up order by heavy.h is not distinct from x.id desc, x.id) o from sized x left join heavy using (up)),
+way as (select x.id, list(o order by i) k from (select id, unnest(path) p, unnest(range(1, len(path) + 1)) i from sized) x join places on places.id = x.p group by 1),
+numbered as (select id, row_number() over (partition by path[1] order by k) - 1 lo from sized join way using (id))
+select id, up parent, path[1] root, rooted, len(path)::int depth, path[i] chain, (len(path) - i)::int chain_pos, n - 1 n_descendants, lo sub_lo, lo + n - 1 sub_hi, path
+from sized join lights using (id) join numbered using (id) join (select id, rooted from tree) using (id)"""
 
 _P1 = """
 with parent as (
@@ -125,6 +132,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": _P2,
         "p2_paths": _P2P,
         "p2_chains": _P2C,
+        "p2_hierarchy": _P2H,
         "p2_descendants": _P2D,
         "p1_summary": f"select ref_table, ref_field, period, reason, count(*) n_refs from ({_P1}) group by all",
     }
