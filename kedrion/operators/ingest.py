@@ -26,6 +26,13 @@ class Ontology:
     edges: DataFrame
 
 
+def last_values(rows: DataFrame, *columns: str) -> DataFrame:
+    """As ``last_by_id`` for a few narrow columns, which go along in one aggregate with map-side combining."""
+    best = F.max_by(F.struct(*columns), "seq").alias("__v")
+    found = rows.filter("id is not null").groupBy("id").agg(F.min("seq").alias("seq"), best)
+    return found.select("seq", "id", *[F.col("__v")[c].alias(c) for c in columns])
+
+
 #: Ids with several rows are broadcast up to so many (id and two numbers).
 FEW_REPEATED = 200_000
 
@@ -50,7 +57,7 @@ def last_by_id(rows: DataFrame, *columns: str) -> DataFrame:
 def section_scan(nodes: DataFrame) -> DataFrame:
     """Real sections: those with a usable level."""
     rows = nodes.filter("type = 'Section'").select("seq", "id", level_of(F.col("attributes")).alias("level"))
-    return last_by_id(rows.filter("level is not null"), "level")
+    return last_values(rows.filter("level is not null"), "level")
 
 
 def figure_scan(nodes: DataFrame) -> DataFrame:

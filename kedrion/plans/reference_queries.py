@@ -23,7 +23,7 @@ from kedrion.plans.pipeline import Engine
 from kedrion.session import load_table, shared_path, staged
 from kedrion.sources.index_store import Index, load_index, save_index, saved_facts
 from kedrion.sources.json_ontology import live, read_edges, read_nodes
-from kedrion.sources.tables import index_of
+from kedrion.sources.tables import index_of, texts_of, tree_of
 
 NO_BUDGET = 1 << 30
 #: Thresholds under which the chained queries descend several levels and find many seeds.
@@ -42,6 +42,14 @@ def _index(spark: SparkSession, sf: str) -> Index:
     return index_of(load_table(spark, sf, "sections"), load_table(spark, sf, "text_nodes"), load_table(spark, sf, "edges"))
 
 
+def _tree(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return tree_of(load_table(spark, sf, "sections"))
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return texts_of(load_table(spark, sf, "text_nodes"))
+
+
 def _queries(spark: SparkSession, sf: str) -> DataFrame:
     return load_table(spark, sf, "queries")
 
@@ -193,12 +201,12 @@ def _components(df: DataFrame, vector: str) -> DataFrame:
 
 
 def text_embedding(spark, sf):
-    nodes = _index(spark, sf).text_nodes.drop("embedding")
+    nodes = _texts(spark, sf).drop("embedding")
     return _components(text_embeddings(nodes, HashingEncoder()), "embedding")
 
 
 def section_embedding(spark, sf):
-    sections = _index(spark, sf).sections.drop("e_local", "e_subtree")
+    sections = _tree(spark, sf)[0].drop("e_local", "e_subtree")
     rows = section_embeddings(sections, HashingEncoder())
     both = [_components(rows, v).withColumn("vector", F.lit(v)) for v in ("e_local", "e_subtree")]
     return both[0].unionByName(both[1])
@@ -215,7 +223,7 @@ def query_embedding(spark, sf):
 
 def vector_topk(spark, sf):
     """The 10 text nodes most similar to every query."""
-    nodes = _index(spark, sf).text_nodes.select("id", "seq", F.col("embedding").alias("vector"))
+    nodes = _texts(spark, sf).select("id", "seq", F.col("embedding").alias("vector"))
     return nearest(_queries(spark, sf), nodes, 10).select("query_id", "id", F.round("sim", 6).alias("sim"), "rank")
 
 
@@ -226,13 +234,12 @@ def embeddings_topk(spark, sf):
 
 
 def root_rank(spark, sf):
-    return root_ranking(_queries(spark, sf), _index(spark, sf).sections, 3).withColumn("sim", F.round("sim", 6))
+    return root_ranking(_queries(spark, sf), _tree(spark, sf)[0], 3).withColumn("sim", F.round("sim", 6))
 
 
 def _frontier(spark, sf):
-    index, queries = _index(spark, sf), _queries(spark, sf)
-    sections = staged(index.sections, "sections")
-    children = staged(index.children, "children")
+    queries = _queries(spark, sf)
+    sections, children = (staged(t, "tree") for t in _tree(spark, sf))
     return staged(root_ranking(queries, sections, 3).select("query_id", "section_id"), "roots"), queries, sections, children
 
 
@@ -248,16 +255,15 @@ def drill_decisions(spark, sf):
 
 
 def seeds(spark, sf):
-    index = _index(spark, sf)
-    return select_seeds(_queries(spark, sf), index.sections, index.children).select("query_id", "section_id")
+    return select_seeds(_queries(spark, sf), *_tree(spark, sf)).select("query_id", "section_id")
 
 
 # --- expansion -----------------------------------------------------------------------------------
 
 
-def _starts(spark, sf):
+def _starts(spark, sf, sections=None):
     """The best roots of every query, as seeds of the walks."""
-    return root_ranking(_queries(spark, sf), _index(spark, sf).sections, 3).select("query_id", F.col("section_id").alias("id"), "rank")
+    return root_ranking(_queries(spark, sf), sections or _tree(spark, sf)[0], 3).select("query_id", F.col("section_id").alias("id"), "rank")
 
 
 def bfs_nodes(spark, sf):
@@ -278,7 +284,7 @@ def bfs_budget_edges(spark, sf):
 
 def khop(spark, sf):
     """Nodes within two edges of any type of the first section."""
-    first = _index(spark, sf).sections.select("id", "seq").orderBy("seq").limit(1)
+    first = _tree(spark, sf)[0].select("id", "seq").orderBy("seq").limit(1)
     return khop_(first, _edges(spark, sf), 2)
 
 
@@ -287,7 +293,7 @@ def khop(spark, sf):
 
 def _scored(spark, sf):
     index = _index(spark, sf)
-    reached, traversed = expand(_starts(spark, sf), index.edges, ExpandConfig(3, 200))
+    reached, traversed = expand(_starts(spark, sf, index.sections), index.edges, ExpandConfig(3, 200))
     return index, reached, traversed, node_scores(reached, _queries(spark, sf), index.text_nodes, index.sections, ScoreConfig())
 
 
@@ -300,7 +306,7 @@ def topk_nodes(spark, sf):
 
 
 def section_text(spark, sf):
-    return _digest(assemble.section_texts(_index(spark, sf).text_nodes), "text")
+    return _digest(assemble.section_texts(_texts(spark, sf)), "text")
 
 
 def section_candidates(spark, sf):
@@ -311,8 +317,7 @@ def section_candidates(spark, sf):
 
 def graph_context(spark, sf):
     """Nodes and edges of the walk of every query, in their order."""
-    _, reached, traversed, _ = _scored(spark, sf)
-    found = assemble.graph_context(reached, traversed)
+    found = assemble.graph_context(*expand(_starts(spark, sf), _edges(spark, sf), ExpandConfig(3, 200)))
     return found.select("query_id", F.array_join("nodes", ",").alias("nodes"), F.size("edges").alias("n_edges"), F.array_join(F.transform("edges", lambda e: F.concat(e["from"], F.lit(">"), e["to"])), ",").alias("edges"))
 
 
@@ -380,12 +385,12 @@ def phantoms(spark, sf):
 
 
 def embedding_coverage(spark, sf):
-    return quality.embedding_coverage(_index(spark, sf).text_nodes)
+    return quality.embedding_coverage(_texts(spark, sf))
 
 
 def pair_cosine(spark, sf):
     """Cosine of the two ends of every link between text nodes."""
-    vectors = _index(spark, sf).text_nodes.select("id", "embedding")
+    vectors = _texts(spark, sf).select("id", "embedding")
     pairs = _edges(spark, sf).filter("relation_type = 'LINKS_TO'").select(F.col("from_id").alias("id_a"), F.col("to_id").alias("id_b")).distinct()
     return quality.pair_cosines(pairs, vectors)
 
