@@ -22,7 +22,7 @@ def is_blank(text: Column) -> Column:
 
 def is_page_number(text: Column) -> Column:
     """At most three digits and nothing else, white space aside; null is none."""
-    return F.coalesce(stripped(text).rlike(f"^{DIGIT}{{1,3}}$"), F.lit(False))
+    return F.coalesce(text.rlike(f"^{SPACE}*{DIGIT}{{1,3}}{SPACE}*$"), F.lit(False))  # settled within the first characters of a text
 
 
 def ordinal(identifier: Column) -> Column:
